@@ -42,27 +42,52 @@ def modal_value(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
 
 
 def item_aggregates(items: DataFrame, products: DataFrame, sellers: DataFrame) -> DataFrame:
-    joined = items_with_dimensions(items, products, sellers)
-    agg = joined.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("n_items"),
-        F.coalesce(F.sum(S.money_units(F.col("price"))), F.lit(0)).alias("_price"),
-        F.coalesce(F.sum(S.money_units(F.col("freight_value"))), F.lit(0)).alias("_freight"),
-        F.max("price").alias("max_price"),
-        F.count("price").alias("_n_price"),
-        F.count_distinct("product_id").alias("n_unique_products"),
-        F.count_distinct("seller_id").alias("n_unique_sellers"),
-        F.count_distinct("seller_state").alias("n_seller_states"),
-        F.avg("product_weight_g").alias("mean_product_weight_g"),
-        F.avg("product_volume_cm3").alias("mean_product_volume_cm3"),
-        F.mode("product_category_name", True).alias("dominant_category"),
+    """Counts, sums, distinct counts and the modal category per order.
+
+    Each item yields one row per thing to tell apart (product, seller, seller state,
+    category). Counting those per (order, kind, value) first combines them before the
+    shuffle and spreads even an order that holds a third of all items over many tasks;
+    the second step then meets at most one row per distinct value. The measures ride
+    on the product rows.
+    """
+    value = lambda c: F.col(c).cast("string")
+    kinds = ["product_id", "seller_id", "seller_state", "product_category_name"]
+    long = items_with_dimensions(items, products, sellers).select(
+        "order_id", "price", "product_weight_g", "product_volume_cm3",
+        S.money_units(F.col("price")).alias("_price"), S.money_units(F.col("freight_value")).alias("_freight"),
+        F.explode(F.array(*[F.struct(F.lit(i).alias("k"), value(c).alias("v")) for i, c in enumerate(kinds)])).alias("p"),
+    ).filter((F.col("p.k") == 0) | F.col("p.v").isNotNull())
+    first = lambda c: F.when(F.col("p.k") == 0, F.col(c))
+    per_value = long.groupBy("order_id", F.col("p.k").alias("_k"), F.col("p.v").alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.sum(first("_price")).alias("_price"), F.sum(first("_freight")).alias("_freight"),
+        F.max(first("price")).alias("_max"), F.count(first("price")).alias("_n_price"),
+        F.sum(first("product_weight_g")).alias("_weight"), F.count(first("product_weight_g")).alias("_n_weight"),
+        F.sum(first("product_volume_cm3")).alias("_volume"), F.count(first("product_volume_cm3")).alias("_n_volume"),
+    )
+    k, v = F.col("_k"), F.col("_v")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    agg = per_value.groupBy("order_id").agg(
+        F.sum(F.when(k == 0, F.col("_n"))).alias("n_items"),
+        total("_price").alias("_price"), total("_freight").alias("_freight"), F.max("_max").alias("max_price"),
+        F.sum("_n_price").alias("_n_price"), F.sum("_weight").alias("_weight"), F.sum("_n_weight").alias("_n_weight"),
+        F.sum("_volume").alias("_volume"), F.sum("_n_volume").alias("_n_volume"),
+        F.count_if((k == 0) & v.isNotNull()).alias("n_unique_products"),
+        F.count_if(k == 1).alias("n_unique_sellers"),
+        F.count_if(k == 2).alias("n_seller_states"),
+        F.min(F.when(k == 3, F.struct((-F.col("_n")).alias("n"), v.alias("v")))).getField("v").alias(
+            "dominant_category"),
     )
     price, freight = S.money(F.col("_price")), S.money(F.col("_freight"))
+    mean = lambda total, n: F.try_divide(total.cast("double"), F.col(n))
     return agg.select(
         "order_id", "n_items",
         price.alias("total_price"), freight.alias("total_freight"), "max_price",
-        (price / F.nullif(F.col("_n_price"), F.lit(0))).alias("mean_price"),
+        mean(price, "_n_price").alias("mean_price"),
         "n_unique_products", "n_unique_sellers", "n_seller_states",
-        "mean_product_weight_g", "mean_product_volume_cm3", "dominant_category",
+        mean(F.col("_weight"), "_n_weight").alias("mean_product_weight_g"),
+        mean(F.col("_volume"), "_n_volume").alias("mean_product_volume_cm3"),
+        "dominant_category",
         S.freight_ratio(freight, price).alias("freight_ratio"),
     )
 
