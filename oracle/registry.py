@@ -1,5 +1,5 @@
 """All oracle SQL."""
 
-from oracle import feature_sql
+from oracle import corruption_sql, feature_sql
 
-SQL = {**feature_sql.SQL}
+SQL = {**feature_sql.SQL, **corruption_sql.SQL}

@@ -1,5 +1,5 @@
 """All registered queries."""
 
-from tarnish.plans import feature_queries
+from tarnish.plans import corruption_queries, feature_queries
 
-QUERIES = {**feature_queries.QUERIES}
+QUERIES = {**feature_queries.QUERIES, **corruption_queries.QUERIES}
