@@ -1,5 +1,5 @@
 """All registered queries."""
 
-from tarnish.plans import corruption_queries, feature_queries
+from tarnish.plans import corruption_queries, feature_queries, sweep_queries
 
-QUERIES = {**feature_queries.QUERIES, **corruption_queries.QUERIES}
+QUERIES = {**feature_queries.QUERIES, **corruption_queries.QUERIES, **sweep_queries.QUERIES}
