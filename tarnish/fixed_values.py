@@ -113,6 +113,7 @@ DELTA_EPSILON = 1e-6
 # Model settings.
 LR_C = 1.0
 LR_MAX_ITER = 2000
+LR_TOLERANCE = 1e-4
 GBT_TREES = 300
 GBT_DEPTH = 6
 GBT_STEP = 0.05

@@ -22,8 +22,9 @@ def ingest_report(tables: dict[str, DataFrame]) -> DataFrame:
             F.lit(name).alias("table_name"), "n_rows", F.lit(len(df.columns)).cast("bigint").alias("n_cols"))
         for name, df in tables.items()
     ])
-    return rows.groupBy(F.explode(F.array("table_name", F.lit("TOTAL"))).alias("table_name")).agg(
-        F.sum("n_rows").alias("n_rows"), F.sum("n_cols").alias("n_cols"))
+    return rows.select(
+        F.explode(F.array("table_name", F.lit("TOTAL"))).alias("table_name"), "n_rows", "n_cols"
+    ).groupBy("table_name").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_cols").alias("n_cols"))
 
 
 def frequency(df: DataFrame, column: str, report: str | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from tarnish.operators.order_statistics import auroc
 from tarnish.operators.reports import union_all
 from tarnish.operators.sampling import rows_of, stratified_samples
 from tarnish.plans import sweep as W
-from tarnish.session import materialize
+from tarnish.session import materialize, scratch_path
 from tarnish.sources.adapter import read_table
 from tarnish.sources.silver import silver
 
@@ -96,10 +96,10 @@ def c12(spark, sf):
 def sweep_results(spark, sf):
     """The evaluated sweep of all tasks, stored on first use like any sweep."""
     if sf not in _SWEEPS:
-        run = W.run_sweep(silver(spark, sf), all_cells(), SAMPLE, W.closed_form_ml, W.closed_form_agent)
-        stored = materialize(run, "sweep")
-        _SWEEPS[sf] = stored.inputFiles()[0].rsplit("/", 1)[0]
-        return stored
+        path = scratch_path(spark, "sweep")
+        materialize(W.run_sweep(silver(spark, sf), all_cells(), SAMPLE, W.closed_form_ml, W.closed_form_agent),
+                    "sweep", path)
+        _SWEEPS[sf] = path
     return spark.read.parquet(_SWEEPS[sf])
 
 

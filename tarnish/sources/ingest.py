@@ -20,6 +20,7 @@ def read_raw_csv(spark: SparkSession, path: str, columns: list[tuple[str, str]],
     return (
         spark.read.schema(table_schema(columns))
         .option("header", True).option("mode", "FAILFAST").option("enforceSchema", False)
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         .option("quote", '"').option("escape", '"').option("multiLine", line_breaks)
         .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
         .csv(path)
