@@ -8,7 +8,7 @@ their size, and a skewed stream side is split by adaptive execution.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnish import fixed_values as fv
@@ -36,69 +36,88 @@ def modal_value(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     Counts per (key, value) first: a key holding a third of all rows reaches its
     final task as one pre-aggregated row per distinct value and map task.
     """
-    counted = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
-    best = F.min(F.when(F.col(value).isNotNull(), F.struct((-F.col("_n")).alias("n"), F.col(value).alias("v"))))
-    return counted.groupBy(key).agg(best.getField("v").alias(out))
+    return df.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n")).groupBy(key).agg(
+        _most_frequent(value, "_n").alias(out))
+
+
+def _total(c: str) -> Column:
+    return F.coalesce(F.sum(c), F.lit(0))
+
+
+def _most_frequent(value: str, n: str) -> Column:
+    """The value with the largest count among pre-counted rows, the smallest on ties; NULLs do not count."""
+    counted = F.when(F.col(value).isNotNull(), F.struct((-F.col(n)).alias("n"), F.col(value).alias("v")))
+    return F.min(counted).getField("v")
+
+
+def _mean(total: Column, n: Column) -> Column:
+    return F.try_divide(total.cast("double"), n)
+
+
+def _product_side(items: DataFrame, products: DataFrame) -> DataFrame:
+    """Item and product measures per order: (order, product) → (order, category) → order."""
+    per_product = items.groupBy("order_id", "product_id").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.sum(S.money_units(F.col("price"))).alias("_price"),
+        F.sum(S.money_units(F.col("freight_value"))).alias("_freight"),
+        F.max("price").alias("_max"), F.count("price").alias("_n_price"))
+    dims = products.select(
+        "product_id", "product_category_name", "product_weight_g",
+        S.box_volume("product_length_cm", "product_height_cm", "product_width_cm").alias("product_volume_cm3"))
+    n = F.col("_n")
+    times = lambda c: F.sum(n * F.col(c))
+    filled = lambda c: F.sum(F.when(F.col(c).isNotNull(), n))
+    per_category = per_product.join(dims, "product_id", "left").groupBy("order_id", "product_category_name").agg(
+        F.sum("_n").alias("_n"), F.sum("_price").alias("_price"), F.sum("_freight").alias("_freight"),
+        F.max("_max").alias("_max"), F.sum("_n_price").alias("_n_price"), F.count("product_id").alias("_products"),
+        times("product_weight_g").alias("_weight"), filled("product_weight_g").alias("_n_weight"),
+        times("product_volume_cm3").alias("_volume"), filled("product_volume_cm3").alias("_n_volume"))
+    return per_category.groupBy("order_id").agg(
+        F.sum("_n").alias("n_items"), _total("_price").alias("_price"), _total("_freight").alias("_freight"),
+        F.max("_max").alias("max_price"), F.sum("_n_price").alias("_n_price"),
+        F.sum("_products").alias("n_unique_products"),
+        _mean(F.sum("_weight"), F.sum("_n_weight")).alias("mean_product_weight_g"),
+        _mean(F.sum("_volume"), F.sum("_n_volume")).alias("mean_product_volume_cm3"),
+        _most_frequent("product_category_name", "_n").alias("dominant_category"))
+
+
+def _seller_side(items: DataFrame, sellers: DataFrame) -> DataFrame:
+    """Distinct sellers and seller states per order: (order, seller) → (order, state) → order."""
+    per_seller = items.select("order_id", "seller_id").distinct()
+    per_state = per_seller.join(sellers.select("seller_id", "seller_state"), "seller_id", "left").groupBy(
+        "order_id", "seller_state").agg(F.count("seller_id").alias("_sellers"))
+    return per_state.groupBy("order_id").agg(
+        F.sum("_sellers").alias("n_unique_sellers"), F.count("seller_state").alias("n_seller_states"))
 
 
 def item_aggregates(items: DataFrame, products: DataFrame, sellers: DataFrame) -> DataFrame:
     """Counts, sums, distinct counts and the modal category per order.
 
-    Each item yields one row per thing to tell apart (product, seller, seller state,
-    category). Counting those per (order, kind, value) first combines them before the
-    shuffle and spreads even an order that holds a third of all items over many tasks;
-    the second step then meets at most one row per distinct value. The measures ride
-    on the product rows.
+    Items are reduced step by step, from (order, product) and (order, seller) to the
+    order, so distinct and modal values need no per-order set, rows meet the dimensions
+    only after they are combined, and an order that holds a third of all items is spread
+    over many tasks until only a few rows of it are left.
     """
-    value = lambda c: F.col(c).cast("string")
-    kinds = ["product_id", "seller_id", "seller_state", "product_category_name"]
-    long = items_with_dimensions(items, products, sellers).select(
-        "order_id", "price", "product_weight_g", "product_volume_cm3",
-        S.money_units(F.col("price")).alias("_price"), S.money_units(F.col("freight_value")).alias("_freight"),
-        F.explode(F.array(*[F.struct(F.lit(i).alias("k"), value(c).alias("v")) for i, c in enumerate(kinds)])).alias("p"),
-    ).filter((F.col("p.k") == 0) | F.col("p.v").isNotNull())
-    first = lambda c: F.when(F.col("p.k") == 0, F.col(c))
-    per_value = long.groupBy("order_id", F.col("p.k").alias("_k"), F.col("p.v").alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum(first("_price")).alias("_price"), F.sum(first("_freight")).alias("_freight"),
-        F.max(first("price")).alias("_max"), F.count(first("price")).alias("_n_price"),
-        F.sum(first("product_weight_g")).alias("_weight"), F.count(first("product_weight_g")).alias("_n_weight"),
-        F.sum(first("product_volume_cm3")).alias("_volume"), F.count(first("product_volume_cm3")).alias("_n_volume"),
-    )
-    k, v = F.col("_k"), F.col("_v")
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    agg = per_value.groupBy("order_id").agg(
-        F.sum(F.when(k == 0, F.col("_n"))).alias("n_items"),
-        total("_price").alias("_price"), total("_freight").alias("_freight"), F.max("_max").alias("max_price"),
-        F.sum("_n_price").alias("_n_price"), F.sum("_weight").alias("_weight"), F.sum("_n_weight").alias("_n_weight"),
-        F.sum("_volume").alias("_volume"), F.sum("_n_volume").alias("_n_volume"),
-        F.count_if((k == 0) & v.isNotNull()).alias("n_unique_products"),
-        F.count_if(k == 1).alias("n_unique_sellers"),
-        F.count_if(k == 2).alias("n_seller_states"),
-        F.min(F.when(k == 3, F.struct((-F.col("_n")).alias("n"), v.alias("v")))).getField("v").alias(
-            "dominant_category"),
-    )
+    both = _product_side(items, products).join(_seller_side(items, sellers), "order_id")
     price, freight = S.money(F.col("_price")), S.money(F.col("_freight"))
-    mean = lambda total, n: F.try_divide(total.cast("double"), F.col(n))
-    return agg.select(
+    return both.select(
         "order_id", "n_items",
         price.alias("total_price"), freight.alias("total_freight"), "max_price",
-        mean(price, "_n_price").alias("mean_price"),
+        _mean(price, F.col("_n_price")).alias("mean_price"),
         "n_unique_products", "n_unique_sellers", "n_seller_states",
-        mean(F.col("_weight"), "_n_weight").alias("mean_product_weight_g"),
-        mean(F.col("_volume"), "_n_volume").alias("mean_product_volume_cm3"),
-        "dominant_category",
+        "mean_product_weight_g", "mean_product_volume_cm3", "dominant_category",
         S.freight_ratio(freight, price).alias("freight_ratio"),
     )
 
 
 def payment_aggregates(payments: DataFrame) -> DataFrame:
-    return payments.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("n_payments"),
-        S.money(F.coalesce(F.sum(S.money_units(F.col("payment_value"))), F.lit(0))).alias("total_payment_value"),
-        F.max("payment_installments").alias("max_installments"),
-        F.mode("payment_type", True).alias("payment_type_modal"),
-    )
+    """Count, sum, largest instalment count and modal type per order, by way of (order, type)."""
+    per_type = payments.groupBy("order_id", "payment_type").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(S.money_units(F.col("payment_value"))).alias("_value"),
+        F.max("payment_installments").alias("_max"))
+    return per_type.groupBy("order_id").agg(
+        F.sum("_n").alias("n_payments"), S.money(_total("_value")).alias("total_payment_value"),
+        F.max("_max").alias("max_installments"), _most_frequent("payment_type", "_n").alias("payment_type_modal"))
 
 
 def split_labels(orders: DataFrame, train_end: str = fv.TRAIN_END, val_end: str = fv.VAL_END) -> DataFrame:
