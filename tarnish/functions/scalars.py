@@ -78,6 +78,17 @@ def lenient_number(value: Column) -> Column:
     return F.when(value.cast("string").rlike(NUMBER_PATTERN), F.trim(value.cast("string")).try_cast("double"))
 
 
+def number_of(df: DataFrame, c: str) -> Column:
+    """A column of any type as double: numbers as they are, text leniently, mixed columns value by value."""
+    kind = df.schema[c].dataType
+    if isinstance(kind, T.NumericType):
+        return F.col(c).cast("double")
+    if isinstance(kind, T.VariantType):
+        text = F.schema_of_variant(c) == "STRING"
+        return F.when(text, lenient_number(F.col(c).try_cast("string"))).otherwise(F.col(c).try_cast("double"))
+    return lenient_number(F.col(c))
+
+
 def text_or_empty(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit(""))
 

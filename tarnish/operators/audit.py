@@ -10,12 +10,14 @@ from tarnish.operators import corruption as C
 from tarnish.operators.reports import union_all
 
 
-def _as_text(c: str, kind: T.DataType | None, was: T.DataType | None = None) -> Column:
+def _changed(c: str, kind: T.DataType | None) -> Column:
+    """Whether a cell differs from the value kept beside it; a flipped number differs by being text."""
+    before = F.col(f"_b_{c}")
     if kind is None:
-        return F.lit(None).cast("string")
-    if isinstance(was or kind, T.VariantType):
-        return F.to_json(F.col(c).cast("variant"))
-    return F.col(c).cast("string")
+        return before.isNotNull()
+    if isinstance(kind, T.VariantType):
+        return F.coalesce(F.schema_of_variant(c) == "STRING", before.isNotNull())
+    return ~F.col(c).eqNullSafe(before)
 
 
 def audit(df: DataFrame, families: list[str], severity: float, seed: int, features: list[str]) -> DataFrame:
@@ -29,14 +31,12 @@ def audit(df: DataFrame, families: list[str], severity: float, seed: int, featur
     for family in families:
         out = C.apply(wide, family, severity, seed)
         kinds = {f.name: f.dataType for f in out.schema.fields}
-        after = {c: _as_text(c, kinds.get(c)) for c in features}
-        before = {c: _as_text(f"_b_{c}", kinds[f"_b_{c}"], kinds.get(c)) for c in features}
         per_row = out.select(
-            sum((after[c].isNull().cast("bigint") for c in features), F.lit(0)).alias("nulls"),
-            sum(((~after[c].eqNullSafe(before[c])).cast("bigint") for c in features), F.lit(0)).alias("changed"))
+            sum((F.col(c).isNull().cast("int") if c in kinds else F.lit(1) for c in features), F.lit(0)).alias("nulls"),
+            sum((_changed(c, kinds.get(c)).cast("int") for c in features), F.lit(0)).alias("changed"))
         reports.append(per_row.agg(
-            F.count(F.lit(1)).alias("n_rows"), F.sum("nulls").alias("null_cells"),
-            F.sum("changed").alias("changed_cells"),
+            F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum("nulls"), F.lit(0)).alias("null_cells"),
+            F.coalesce(F.sum("changed"), F.lit(0)).alias("changed_cells"),
         ).select(
             F.lit(family).alias("family"), "n_rows",
             F.lit(len([c for c in out.columns if not c.startswith("_")])).cast("bigint").alias("n_cols"),

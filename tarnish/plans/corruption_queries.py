@@ -21,7 +21,7 @@ def c2(spark, sf):
     out = C.apply(of, "type_flip", SEVERITY, SEED)
     numeric = S.numeric_columns(of)
     return out.select(
-        "order_id", *[S.lenient_number(F.col(c)).alias(c) for c in numeric],
+        "order_id", *[S.number_of(out, c).alias(c) for c in numeric],
         *[(F.expr(f"schema_of_variant({c})") == "STRING").alias(f"{c}_is_text") for c in numeric])
 
 
