@@ -28,18 +28,21 @@ def row_hash(seed: Column | int, *key: Column) -> Column:
     return F.conv(F.substring(text, 1, 8), 16, 10).cast("bigint") % F.lit(PRIME)
 
 
-def mixed(h: Column, family: str, column: str, salt: str) -> Column:
+def mixed(h: str, family: str, column: str, salt: str) -> str:
     a, b = affine_constants(family, column, salt)
-    return (h * F.lit(a).cast("bigint") + F.lit(b).cast("bigint")) % F.lit(PRIME)
+    return f"(({h} * {a}L + {b}L) % {PRIME}L)"
 
 
-def hit(h: Column, family: str, column: str, severity: Column | float) -> Column:
-    """True for about ``severity`` of the rows, drawn independently per column."""
-    severity = F.lit(float(severity)) if isinstance(severity, (int, float)) else severity
-    return mixed(h, family, column, "hit") / F.lit(float(PRIME)) < severity
+def hit(h: str, family: str, column: str, severity: float | str) -> str:
+    """SQL: true for about ``severity`` of the rows, drawn independently per column.
 
+    ``h`` and a textual ``severity`` are column names. Text is used because a frame has
+    dozens of such expressions and one text per column is built much faster than a tree.
+    """
+    severity = f"{severity!r}D" if isinstance(severity, float) else severity
+    return f"({mixed(h, family, column, 'hit')} / {PRIME}.0D < {severity})"
 
-def pick(h: Column, family: str, column: str, n: Column | int) -> Column:
-    """A number in [0, n), drawn apart from the hit."""
-    n = F.lit(n).cast("bigint") if isinstance(n, int) else n.cast("bigint")
-    return mixed(h, family, column, "pick") % n
+
+def pick(h: str, family: str, column: str, n: int) -> str:
+    """SQL: a number in [0, n), drawn apart from the hit."""
+    return f"({mixed(h, family, column, 'pick')} % {n}L)"

@@ -14,42 +14,36 @@ from tarnish import fixed_values as fv
 from tarnish.functions import scalars as S
 
 
-def float_text(x: Column) -> Column:
-    """A double as Python prints it: plain digits between 1e-4 and 1e16, else a two-digit exponent."""
-    java = x.cast("string")
-    plain = F.regexp_replace(java.cast("decimal(38,20)").cast("string"), r"(\.\d+?)0+$", "$1")
-    mantissa = F.regexp_replace(java, r"\.0E", "E")
-    scientific = F.regexp_replace(
-        F.regexp_replace(F.regexp_replace(mantissa, r"E(\d)", "e+$1"), "E-", "e-"), r"e([+-])(\d)$", "e$10$2")
-    size = F.abs(x)
-    return (
-        F.when((size >= 1e-3) & (size < 1e7) | (x == 0), java)
-        .when((size >= 1e-4) & (size < 1e16), plain)
-        .otherwise(scientific)
-    )
-
-
-def json_value(c: str, kind: T.DataType, as_text: Column | None = None) -> Column:
-    """The JSON text of one value: null for NULL and "", numbers bare unless they arrive as text."""
+def float_text(x: str) -> str:
+    """SQL: a double as Python prints it: plain digits between 1e-4 and 1e16, else a two-digit exponent."""
+    java = f"cast({x} as string)"
+    plain = f"regexp_replace(cast(cast({java} as decimal(38, 20)) as string), r'(\\.\\d+?)0+$', '$1')"
+    scientific = (f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({java}, r'\\.0E', 'E'), "
+                  f"r'E(\\d)', 'e+$1'), 'E-', 'e-'), r'e([+-])(\\d)$', 'e$10$2')")
+    return (f"case when {x} = 0 or abs({x}) >= 1e-3D and abs({x}) < 1e7D then {java} "
+            f"when abs({x}) >= 1e-4D and abs({x}) < 1e16D then {plain} else {scientific} end")
+
+
+def json_value(c: str, kind: T.DataType, may_flip: bool = False) -> str:
+    """SQL: the JSON text of one value: null for NULL and "", numbers bare unless they arrive as text."""
     if isinstance(kind, T.StringType):
-        clipped = S.clip_text(F.col(c), fv.PROMPT_TEXT_CHARS)
-        return F.coalesce(F.to_json(F.nullif(clipped, F.lit("")).cast("variant")), F.lit("null"))
-    number = float_text(F.col(c)) if isinstance(kind, T.DoubleType) else F.col(c).cast("string")
-    if as_text is not None:
-        number = F.when(as_text, F.concat(F.lit('"'), number, F.lit('"'))).otherwise(number)
-    return F.coalesce(number, F.lit("null"))
+        n = fv.PROMPT_TEXT_CHARS
+        clipped = f"if(length(`{c}`) > {n}, concat(substring(`{c}`, 1, {n}), '…'), `{c}`)"
+        return f"coalesce(to_json(cast(nullif({clipped}, '') as variant)), 'null')"
+    number = float_text(f"`{c}`") if isinstance(kind, T.DoubleType) else f"cast(`{c}` as string)"
+    if may_flip:
+        number = f"if(array_contains(_flipped, '{c}'), concat('\"', {number}, '\"'), {number})"
+    return f"coalesce({number}, 'null')"
 
 
 def row_json(df: DataFrame, features: list[str]) -> Column:
     """One JSON object in feature order; a feature the frame lacks reads null."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    flipped = "_flipped" in kinds
     parts = []
     for i, c in enumerate(features):
-        as_text = F.array_contains("_flipped", c) if flipped else None
-        value = json_value(c, kinds[c], as_text) if c in kinds else F.lit("null")
-        parts += [F.lit(("{" if i == 0 else ", ") + f'"{c}": '), value]
-    return F.concat(*parts, F.lit("}"))
+        value = json_value(c, kinds[c], "_flipped" in kinds) if c in kinds else "'null'"
+        parts += ["'" + ("{" if i == 0 else ", ") + f"\"{c}\": '", value]
+    return F.expr(f"concat({', '.join(parts)}, '}}')")
 
 
 def task_block(task: str) -> str:

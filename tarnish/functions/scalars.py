@@ -73,20 +73,24 @@ def temporal_split(ts: Column, train_end: str, val_end: str) -> Column:
     )
 
 
-def lenient_number(value: Column) -> Column:
-    """Text to double; anything that is not a plain number becomes NULL."""
-    return F.when(value.cast("string").rlike(NUMBER_PATTERN), F.trim(value.cast("string")).try_cast("double"))
+def lenient_number_sql(value: str) -> str:
+    """SQL: text to double; anything that is not a plain number becomes NULL."""
+    return f"if({value} rlike r'{NUMBER_PATTERN}', try_cast(trim({value}) as double), null)"
 
 
-def number_of(df: DataFrame, c: str) -> Column:
-    """A column of any type as double: numbers as they are, text leniently, mixed columns value by value."""
+def lenient_number(value: str) -> Column:
+    return F.expr(lenient_number_sql(f"cast({value} as string)"))
+
+
+def number_sql(df: DataFrame, c: str) -> str:
+    """SQL: a column of any type as double: numbers as they are, text leniently, mixed columns value by value."""
     kind = df.schema[c].dataType
     if isinstance(kind, T.NumericType):
-        return F.col(c).cast("double")
+        return f"cast(`{c}` as double)"
     if isinstance(kind, T.VariantType):
-        text = F.schema_of_variant(c) == "STRING"
-        return F.when(text, lenient_number(F.col(c).try_cast("string"))).otherwise(F.col(c).try_cast("double"))
-    return lenient_number(F.col(c))
+        text = lenient_number_sql(f"try_cast(`{c}` as string)")
+        return f"if(schema_of_variant(`{c}`) = 'STRING', {text}, try_cast(`{c}` as double))"
+    return lenient_number_sql(f"cast(`{c}` as string)")
 
 
 def text_or_empty(value: Column) -> Column:

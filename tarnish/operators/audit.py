@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,14 +10,13 @@ from tarnish.operators import corruption as C
 from tarnish.operators.reports import union_all
 
 
-def _changed(c: str, kind: T.DataType | None) -> Column:
+def _changed(c: str, kind: T.DataType | None) -> str:
     """Whether a cell differs from the value kept beside it; a flipped number differs by being text."""
-    before = F.col(f"_b_{c}")
     if kind is None:
-        return before.isNotNull()
+        return f"`_b_{c}` is not null"
     if isinstance(kind, T.VariantType):
-        return F.coalesce(F.schema_of_variant(c) == "STRING", before.isNotNull())
-    return ~F.col(c).eqNullSafe(before)
+        return f"coalesce(schema_of_variant(`{c}`) = 'STRING', `_b_{c}` is not null)"
+    return f"not (`{c}` <=> `_b_{c}`)"
 
 
 def audit(df: DataFrame, families: list[str], severity: float, seed: int, features: list[str]) -> DataFrame:
@@ -26,14 +25,14 @@ def audit(df: DataFrame, families: list[str], severity: float, seed: int, featur
     The values before travel beside the row under names no family touches, so before and
     after meet without a join.
     """
-    wide = df.select("*", *[F.col(c).alias(f"_b_{c}") for c in features])
+    wide = df.selectExpr("*", *[f"`{c}` as `_b_{c}`" for c in features])
     reports = []
     for family in families:
         out = C.apply(wide, family, severity, seed)
         kinds = {f.name: f.dataType for f in out.schema.fields}
-        per_row = out.select(
-            sum((F.col(c).isNull().cast("int") if c in kinds else F.lit(1) for c in features), F.lit(0)).alias("nulls"),
-            sum((_changed(c, kinds.get(c)).cast("int") for c in features), F.lit(0)).alias("changed"))
+        nulls = [f"int(`{c}` is null)" if c in kinds else "1" for c in features]
+        changes = [f"int({_changed(c, kinds.get(c))})" for c in features]
+        per_row = out.selectExpr(f"{' + '.join(nulls)} as nulls", f"{' + '.join(changes)} as changed")
         reports.append(per_row.agg(
             F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum("nulls"), F.lit(0)).alias("null_cells"),
             F.coalesce(F.sum("changed"), F.lit(0)).alias("changed_cells"),

@@ -10,67 +10,67 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnish import fixed_values as fv
 from tarnish.functions import scalars as S
 from tarnish.functions.keyed_hash import hit, pick, row_hash
+from tarnish.functions.shapes import unpivot
 from tarnish.operators.dense_index import dense_index
 
 KEY = "order_id"
 LEVEL_LITERAL_LIMIT = 1000
 
 
-# ---- column expressions, shared by the single-cell and the many-cell form ----
+# ---- column expressions as SQL text, shared by the single-cell and the many-cell form ----
+# ``h`` names the column of the row hash; ``severity`` is a number or names a column.
 
-def missing_value(c: str, h: Column, severity) -> Column:
-    return F.when(~hit(h, "missing_injection", c, severity), F.col(c))
+def missing_value(c: str, h: str, severity) -> str:
+    return f"if({hit(h, 'missing_injection', c, severity)}, null, `{c}`)"
 
 
-def times_hundred(c: str, h: Column, severity) -> Column:
-    x = F.col(c).cast("double")
-    return F.when(hit(h, "currency_unit_drift", c, severity), x * 100.0).otherwise(x)
+def times_hundred(c: str, h: str, severity) -> str:
+    x = f"cast(`{c}` as double)"
+    return f"if({hit(h, 'currency_unit_drift', c, severity)}, {x} * 100.0D, {x})"
 
 
-def shifted_hour(c: str, h: Column, severity) -> Column:
-    shift = F.when(pick(h, "timezone_collapse", c, 2) == 0, F.lit(-3)).otherwise(F.lit(3))
-    hour = F.col(c).cast("bigint")
-    return F.when(hit(h, "timezone_collapse", c, severity), F.pmod(hour + shift, F.lit(24)).cast("bigint")).otherwise(
-        hour)
+def shifted_hour(c: str, h: str, severity) -> str:
+    hour, shift = f"cast(`{c}` as bigint)", f"if({pick(h, 'timezone_collapse', c, 2)} = 0, -3L, 3L)"
+    return f"if({hit(h, 'timezone_collapse', c, severity)}, pmod({hour} + {shift}, 24L), {hour})"
 
 
-def shifted_days(c: str, h: Column, severity) -> Column:
-    shift = F.when(pick(h, "timezone_collapse", c, 2) == 0, F.lit(-0.125)).otherwise(F.lit(0.125))
-    x = F.col(c).cast("double")
-    return F.when(hit(h, "timezone_collapse", c, severity), x + shift).otherwise(x)
+def shifted_days(c: str, h: str, severity) -> str:
+    x, shift = f"cast(`{c}` as double)", f"if({pick(h, 'timezone_collapse', c, 2)} = 0, -0.125D, 0.125D)"
+    return f"if({hit(h, 'timezone_collapse', c, severity)}, {x} + {shift}, {x})"
 
 
-def drifted_category(c: str, h: Column, severity) -> Column:
-    known = F.create_map(*[
-        part for label, names in fv.TAXONOMY_VARIANTS.items()
-        for part in (F.lit(label), F.array(*[F.lit(n) for n in names]))])
-    variants = F.element_at(known, F.col(c))
-    variant = F.element_at(variants, (pick(h, "category_taxonomy_drift", c, 3) + 1).cast("int"))
-    other = F.when(F.contains(F.col(c), F.lit("a")), F.regexp_replace(c, "^([^a]*)a", "$1á")).otherwise(
-        F.concat(F.col(c), F.lit("_drift")))
-    changed = F.when(variants.isNotNull(), variant).otherwise(other)
-    return F.when(hit(h, "category_taxonomy_drift", c, severity), changed).otherwise(F.col(c))
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def misread_text(c: str, h: Column, severity) -> Column:
-    garbled = F.decode(F.encode(F.col(c), "UTF-8"), "ISO-8859-1")
-    return F.when(hit(h, "mojibake_roundtrip", c, severity), garbled).otherwise(F.col(c))
+def drifted_category(c: str, h: str, severity) -> str:
+    labels = ", ".join(
+        f"{_text(label)}, array({', '.join(map(_text, names))})" for label, names in fv.TAXONOMY_VARIANTS.items())
+    variants = f"element_at(map({labels}), `{c}`)"
+    variant = f"element_at({variants}, cast({pick(h, 'category_taxonomy_drift', c, 3)} + 1 as int))"
+    other = f"if(contains(`{c}`, 'a'), regexp_replace(`{c}`, '^([^a]*)a', '$1á'), concat(`{c}`, '_drift'))"
+    return f"if({hit(h, 'category_taxonomy_drift', c, severity)}, coalesce({variant}, {other}), `{c}`)"
 
 
-def flipped_value(c: str, h: Column, severity) -> Column:
+def misread_text(c: str, h: str, severity) -> str:
+    garbled = f"decode(encode(`{c}`, 'UTF-8'), 'ISO-8859-1')"
+    return f"if({hit(h, 'mojibake_roundtrip', c, severity)}, {garbled}, `{c}`)"
+
+
+def flipped_value(c: str, h: str, severity) -> str:
     """Variant: text for hit values, the number itself otherwise."""
-    text = F.col(c).cast("string").cast("variant")
-    return F.when(hit(h, "type_flip", c, severity), text).otherwise(F.col(c).cast("variant"))
+    text = f"cast(cast(`{c}` as string) as variant)"
+    return f"if({hit(h, 'type_flip', c, severity)}, {text}, cast(`{c}` as variant))"
 
 
-def is_flipped(c: str, h: Column, severity) -> Column:
-    return hit(h, "type_flip", c, severity) & F.col(c).isNotNull()
+def is_flipped(c: str, h: str, severity) -> str:
+    return f"({hit(h, 'type_flip', c, severity)} and `{c}` is not null)"
 
 
 # ---- families ----
@@ -80,8 +80,8 @@ def _replace(df: DataFrame, seed, key: str | list[str], columns: list[str], make
     todo = set(columns)
     keys = [key] if isinstance(key, str) else key
     hashed = df.select("*", row_hash(seed, *[F.col(k) for k in keys]).alias("_h"))
-    return hashed.select(*[
-        make(c, F.col("_h"), severity).alias(c) if c in todo else F.col(c) for c in df.columns])
+    severity = float(severity)
+    return hashed.selectExpr(*[f"{make(c, '_h', severity)} as `{c}`" if c in todo else f"`{c}`" for c in df.columns])
 
 
 def missing_injection(df, severity, seed, key=KEY):
@@ -114,9 +114,8 @@ def mojibake_roundtrip(df, severity, seed, key=KEY):
 
 def level_table(df: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct non-null (column, level) pairs of the named columns, from one pass."""
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in columns])).alias("p")
-    return df.select(pairs).select("p.*").filter("level is not null").distinct()
+    return unpivot(df, columns, "string").filter("value is not null").select(
+        "column", F.col("value").alias("level")).distinct()
 
 
 def small_levels(df: DataFrame, columns: list[str], limit: int = LEVEL_LITERAL_LIMIT) -> dict[str, list[str] | None]:
@@ -132,17 +131,16 @@ def small_levels(df: DataFrame, columns: list[str], limit: int = LEVEL_LITERAL_L
     return {c: (None if len(v) > limit else sorted(v)) for c, v in found.items()}
 
 
-def swapped_level(c: str, h: Column, severity, levels: list[str]) -> Column:
+def swapped_level(c: str, h: str, severity, levels: list[str]) -> str:
     """A uniformly drawn level; the next one (cyclic) when the draw equals the value. NULLs are filled too."""
     n = len(levels)
     if n < 2:
-        return F.col(c)
-    array = F.lit(levels)
-    at = pick(h, "label_noise_categorical", c, n)
-    drawn = F.element_at(array, (at + 1).cast("int"))
-    following = F.element_at(array, ((at + 1) % n + 1).cast("int"))
-    changed = F.when(drawn.eqNullSafe(F.col(c)), following).otherwise(drawn)
-    return F.when(hit(h, "label_noise_categorical", c, severity), changed).otherwise(F.col(c))
+        return f"`{c}`"
+    array, at = f"array({', '.join(map(_text, levels))})", pick(h, "label_noise_categorical", c, n)
+    drawn = f"element_at({array}, cast({at} + 1 as int))"
+    following = f"element_at({array}, cast(({at} + 1) % {n} + 1 as int))"
+    changed = f"if({drawn} <=> `{c}`, {following}, {drawn})"
+    return f"if({hit(h, 'label_noise_categorical', c, severity)}, {changed}, `{c}`)"
 
 
 def _swap_by_join(df: DataFrame, c: str, severity, seed, key: str) -> DataFrame:
@@ -158,10 +156,9 @@ def _swap_by_join(df: DataFrame, c: str, severity, seed, key: str) -> DataFrame:
         return df
     following = indexed.rows.select(F.col("_level").alias("_next"), F.pmod(F.col("_at") - 1, F.lit(n)).alias("_at"))
     table = indexed.rows.join(following, "_at")
-    h = F.col("_h")
-    drawn = F.when(hit(h, "label_noise_categorical", c, severity), pick(h, "label_noise_categorical", c, n))
-    hashed = df.select("*", row_hash(seed, F.col(key)).alias("_h")).withColumn(
-        "_at", F.coalesce(drawn, F.lit(-1) - h))
+    family = "label_noise_categorical"
+    drawn = f"if({hit('_h', family, c, float(severity))}, {pick('_h', family, c, n)}, -1 - _h)"
+    hashed = df.select("*", row_hash(seed, F.col(key)).alias("_h")).withColumn("_at", F.expr(drawn))
     changed = F.when(F.col("_level").eqNullSafe(F.col(c)), F.col("_next")).otherwise(F.col("_level"))
     joined = hashed.join(table, "_at", "left")
     return joined.select(*[
@@ -267,27 +264,26 @@ def corrupt_cells(df: DataFrame, features: list[str], key: str = KEY) -> DataFra
     swaps do not occur here: the former never enter a paired sample, the latter need
     frame-level levels. ``_flipped`` lists the columns whose value arrives as text.
     """
-    family, severity, h = F.col("family"), F.col("severity"), F.col("_h")
-    numeric = set(S.numeric_columns(df))
+    numeric, h, severity = set(S.numeric_columns(df)), "_h", "severity"
 
-    def cell_value(c: str) -> Column:
-        out = F.when(family == "missing_injection", missing_value(c, h, severity)).when(
-            (family == "schema_drift") & F.array_contains("drifted", c), F.lit(None))
+    def cell_value(c: str) -> str:
+        cases = {"missing_injection": missing_value(c, h, severity),
+                 "schema_drift": f"if(array_contains(drifted, '{c}'), null, `{c}`)"}
         if c in fv.MONETARY_COLS and c in numeric:
-            out = out.when(family == "currency_unit_drift", times_hundred(c, h, severity))
+            cases["currency_unit_drift"] = times_hundred(c, h, severity)
         if c in numeric and c == "purchase_hour":
-            out = out.when(family == "timezone_collapse", shifted_hour(c, h, severity))
+            cases["timezone_collapse"] = shifted_hour(c, h, severity)
         elif c in numeric and c in fv.TIME_DAY_COLS:
-            out = out.when(family == "timezone_collapse", shifted_days(c, h, severity))
+            cases["timezone_collapse"] = shifted_days(c, h, severity)
         if c in fv.TAXONOMY_COLS:
-            out = out.when(family == "category_taxonomy_drift", drifted_category(c, h, severity))
+            cases["category_taxonomy_drift"] = drifted_category(c, h, severity)
         if c in fv.TAXONOMY_COLS or c in fv.TEXT_COLS:
-            out = out.when(family == "mojibake_roundtrip", misread_text(c, h, severity))
-        return out.otherwise(F.col(c)).alias(c)
+            cases["mojibake_roundtrip"] = misread_text(c, h, severity)
+        whens = " ".join(f"when '{family}' then {value}" for family, value in cases.items())
+        return f"case family {whens} else `{c}` end as `{c}`"
 
     todo = set(features)
-    flips = F.array_compact(F.array(*[
-        F.when((family == "type_flip") & is_flipped(c, h, severity), F.lit(c)) for c in features if c in numeric]))
+    flips = ", ".join(f"if({is_flipped(c, h, severity)}, '{c}', null)" for c in features if c in numeric)
+    flipped = f"if(family = 'type_flip', array_compact(array({flips})), cast(array() as array<string>)) as _flipped"
     hashed = df.select("*", row_hash(F.col("seed"), F.col(key)).alias("_h"))
-    return hashed.select(
-        *[cell_value(c) if c in todo else F.col(c) for c in df.columns], flips.alias("_flipped"))
+    return hashed.selectExpr(*[cell_value(c) if c in todo else f"`{c}`" for c in df.columns], flipped)

@@ -11,20 +11,15 @@ from pyspark.sql import functions as F
 
 from tarnish import fixed_values as fv
 from tarnish.functions import scalars as S
+from tarnish.functions.shapes import unpivot
 from tarnish.operators.order_statistics import WAYS, exact_quantiles
 
 QUANTILES = [0.1, 0.5, 0.9]
 
 
-def _unpivot(df: DataFrame, columns: list[str], label: str, kind: str) -> DataFrame:
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast(kind).alias("value")) for c in columns])).alias("c")
-    return df.select(F.col(label).alias("y"), cells).select("y", "c.column", "c.value")
-
-
 def numeric_profile(df: DataFrame, columns: list[str], label: str, approx: bool = False, ways: int = WAYS) -> DataFrame:
     """One row per column: n, miss, mean, std, p10/p50/p90, min, max, correlation with the label (0 if undefined)."""
-    long = _unpivot(df, columns, label, "double")
+    long = unpivot(df, columns, "double", keep={"y": label})
     x, y = F.col("value"), F.when(F.col("value").isNotNull(), F.col("y").cast("double"))
     basics = long.groupBy("column").agg(
         F.count("value").alias("n"),
@@ -44,7 +39,7 @@ def numeric_profile(df: DataFrame, columns: list[str], label: str, approx: bool
 
 def categorical_profile(df: DataFrame, columns: list[str], label: str, max_levels: int = 3) -> DataFrame:
     """One row per column: n, miss, distinct levels, the most frequent ones, label share in the top one."""
-    levels = _unpivot(df, columns, label, "string").groupBy("column", "value").agg(
+    levels = unpivot(df, columns, "string", keep={"y": label}).groupBy("column", "value").agg(
         F.count(F.lit(1)).alias("n"), F.avg("y").alias("prev"))
     present = F.col("value").isNotNull()
     totals = levels.groupBy("column").agg(

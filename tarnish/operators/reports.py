@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnish.fixed_values import COMPLETION_TOKEN_PRICE, LABEL_COLS, PROMPT_TOKEN_PRICE
 from tarnish.functions import scalars as S
+from tarnish.functions.shapes import unpivot
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
@@ -46,11 +47,9 @@ def split_summary(split: DataFrame) -> DataFrame:
 
 def label_coverage(features: DataFrame) -> DataFrame:
     """Non-null count and positive share per label."""
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("label"), F.col(c).alias("y")) for c in LABEL_COLS])).alias("p")
-    return features.select(pairs).groupBy("p.label").agg(
-        F.count("p.y").alias("n"), F.count(F.lit(1)).alias("n_total"),
-        F.round(F.avg("p.y"), 6).alias("prevalence"))
+    return unpivot(features, LABEL_COLS, "int").groupBy(F.col("column").alias("label")).agg(
+        F.count("value").alias("n"), F.count(F.lit(1)).alias("n_total"),
+        F.round(F.avg("value"), 6).alias("prevalence"))
 
 
 def orders_by_period(orders: DataFrame, ts: str = "order_purchase_timestamp") -> DataFrame:

@@ -20,9 +20,9 @@ def c2(spark, sf):
     of = silver(spark, sf)
     out = C.apply(of, "type_flip", SEVERITY, SEED)
     numeric = S.numeric_columns(of)
-    return out.select(
-        "order_id", *[S.number_of(out, c).alias(c) for c in numeric],
-        *[(F.expr(f"schema_of_variant({c})") == "STRING").alias(f"{c}_is_text") for c in numeric])
+    return out.selectExpr(
+        "order_id", *[f"{S.number_sql(out, c)} as {c}" for c in numeric],
+        *[f"schema_of_variant({c}) = 'STRING' as {c}_is_text" for c in numeric])
 
 
 def c3_join(spark, sf):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tarnish import fixed_values as fv
 from tarnish.functions import scalars as S
+from tarnish.functions.shapes import unpivot
 from tarnish.operators import features as X
 from tarnish.operators import reports as R
 from tarnish.sources import adapter as A
@@ -64,17 +65,17 @@ def p10(spark, sf):
     of = order_features(spark, sf)
     numeric, categorical = set(S.numeric_columns(of)), set(S.categorical_columns(of))
     role = lambda c: "numeric" if c in numeric else "categorical" if c in categorical else "text"
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.lit(role(c)).alias("role"), F.col(c).isNotNull().alias("filled"),
-                 F.lit(c in fv.MONETARY_COLS).alias("monetary"))
-        for c in S.feature_columns(of)])).alias("p")
-    return of.select(pairs).groupBy("p.column", "p.role", "p.monetary").agg(
-        F.count_if("p.filled").alias("n_filled"))
+    columns = S.feature_columns(of)
+    roles = F.create_map(*[F.lit(x) for c in columns for x in (c, role(c))])
+    filled = unpivot(of, columns, "boolean", values={c: f"`{c}` is not null" for c in columns})
+    return filled.groupBy("column").agg(F.count_if("value").alias("n_filled")).select(
+        "column", roles[F.col("column")].alias("role"), F.col("column").isin(fv.MONETARY_COLS).alias("monetary"),
+        "n_filled")
 
 
 def p11(spark, sf):
     d = A.read_table(spark, sf, "events")
-    odd = F.expr("case event_id % 5 when 0 then concat(cast(user_id as string), 'd') when 1 then cast(user_id as string)"
+    odd = ("case event_id % 5 when 0 then concat(cast(user_id as string), 'd') when 1 then cast(user_id as string)"
                  " when 2 then concat(' ', cast(event_id as string), '.5') when 3 then event_type"
                  " else concat(cast(user_id as string), 'e2') end")
     return d.select("event_id", S.lenient_number(odd).alias("number"))

@@ -103,7 +103,7 @@ def test_masks_are_nested_and_independent_between_columns(features):
 def test_type_flip_keeps_values_and_marks_text(features):
     out = C.apply(features, "type_flip", 0.5, 3).select(
         "order_id", F.schema_of_variant("total_price").alias("kind"),
-        S.lenient_number(F.col("total_price")).alias("after"))
+        S.lenient_number("total_price").alias("after"))
     joined = out.join(features.select("order_id", "total_price"), "order_id")
     assert joined.filter(~F.col("after").eqNullSafe(F.col("total_price"))).count() == 0
     kinds = {r["kind"]: r["count"] for r in joined.groupBy("kind").count().collect()}
