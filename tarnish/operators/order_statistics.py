@@ -1,9 +1,9 @@
 """Exact rank statistics without ever sorting one group in one task.
 
-Values are counted first, so ties collapse. Approximate quantiles of all values, taken
-once, cut the value range into ways of about equal weight whichever group they belong to;
-exact work then happens inside each (group, range) and the ranges are chained by their
-totals. The cuts only steer the split: any cuts give the same result.
+Approximate quantiles of all values, taken once, cut the value range into ways of about
+equal weight whichever group they belong to; exact work then happens inside each
+(group, range), on counted values so that ties collapse, and the ranges are chained by
+their totals. The cuts only steer the split: any cuts give the same result.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WAYS = 256
+LOCAL_ROWS = 10_000
 
 
 def range_cuts(df: DataFrame, value: str, ways: int = WAYS) -> list[float]:
@@ -33,16 +34,21 @@ def with_range(df: DataFrame, value: str, cuts: list[float], out: str = "_range"
     return cut.transform(ready).withColumn(out, F.col(f"{out}_out").cast("int")).drop(f"{out}_in", f"{out}_out")
 
 
+def _with_known_size(small: DataFrame) -> DataFrame:
+    """The same rows as a local table when there are few, so that Spark knows their size and can broadcast them."""
+    rows = small.limit(LOCAL_ROWS + 1).collect()
+    return small if len(rows) > LOCAL_ROWS else small.sparkSession.createDataFrame(rows, small.schema)
+
+
 def exact_quantiles(
     df: DataFrame, keys: list[str], value: str, probs: list[float], ways: int = WAYS
 ) -> DataFrame:
     """(keys…, prob, quantile) with linear interpolation between neighbours, for every group."""
     filled = df.filter(F.col(value).isNotNull())
-    counts = filled.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranged = with_range(counts, value, range_cuts(filled, value, ways))
+    ranged = with_range(filled.select(*keys, value), value, range_cuts(filled, value, ways))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = (
-        ranged.groupBy(*keys, "_range").agg(F.sum("_n").alias("_in"))
+        ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_in"))
         .withColumns({
             "_before": F.coalesce(F.sum("_in").over(before), F.lit(0)),
             "_total": F.sum("_in").over(Window.partitionBy(*keys)),
@@ -53,12 +59,15 @@ def exact_quantiles(
         F.struct(F.lit(float(p)).alias("prob"), F.lit(side).alias("side"),
                  f(place(p)).cast("bigint").alias("rank"), (place(p) - F.floor(place(p))).alias("part"))
         for p in probs for side, f in (("lo", F.floor), ("hi", F.ceil))])
-    # only the ranges that hold a wanted rank go on
-    needed = ranges.withColumn("_targets", F.filter(targets, lambda t: (t["rank"] >= F.col("_before")) & (
+    wanted = ranges.withColumn("_targets", F.filter(targets, lambda t: (t["rank"] >= F.col("_before")) & (
         t["rank"] < F.col("_before") + F.col("_in")))).filter(F.size("_targets") > 0).select(
         *keys, "_range", "_before", "_targets")
+    # only values of the few ranges that hold a wanted rank are shuffled
+    needed = _with_known_size(wanted)
+    counted = ranged.join(needed.select(*keys, "_range"), [*keys, "_range"], "left_semi").groupBy(
+        *keys, "_range", value).agg(F.count(F.lit(1)).alias("_n"))
     inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranged.join(needed, [*keys, "_range"]).withColumn(
+    placed = counted.join(needed, [*keys, "_range"]).withColumn(
         "_start", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
     hits = placed.select(*keys, value, F.explode(F.filter("_targets", lambda t: (t["rank"] >= F.col("_start")) & (
         t["rank"] < F.col("_start") + F.col("_n")))).alias("t"))
