@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnish.llm.op5_sentencepiece import op5_sentencepiece
+from tarnish.llm.op8_suffix_dedup import op8_suffix_dedup
+from tarnish.llm.op9_substring_dedup import op9_substring_dedup
 from tarnish.llm.op10_quality_rules import op10_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sentencepiece": op5_sentencepiece,
+    "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
