@@ -166,8 +166,8 @@ def loaded(path: str) -> PrefixTable:
     return _LOADED[path]
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row. One narrow pass, no shuffle."""
+def digests(docs: DataFrame, path: str, *keep: str) -> DataFrame:
+    """doc_id, the columns to keep, n_tokens, ids_sha256 and decoded_sha256 of every row. One narrow pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = loaded(path)
@@ -187,12 +187,13 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 decoded = "".join([x[2] for x in found])
                 of_text.append(hashlib.sha256((decoded[1:] if decoded[:1] == " " else decoded).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_text)],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                [*[batch.column(c) for c in names], pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()),
+                 pa.array(of_text, pa.string())], names=[*names, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return own(docs, "doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    names = ["doc_id", *keep]
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    return own(docs, *names, "text").mapInArrow(
+        run, f"{kinds}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tarnish.llm.op2_mixing import op2_mixing
 from tarnish.llm.op5_sentencepiece import op5_sentencepiece
+from tarnish.llm.op7_bagminhash import op7_bagminhash
 from tarnish.llm.op8_suffix_dedup import op8_suffix_dedup
 from tarnish.llm.op9_substring_dedup import op9_substring_dedup
 from tarnish.llm.op10_quality_rules import op10_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": op2_mixing,
     "op5_sentencepiece": op5_sentencepiece,
+    "op7_bagminhash": op7_bagminhash,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
