@@ -7,7 +7,9 @@
 2. Anchors that stand once drop out after an aggregation with map-side combine. If all blocks of an anchor are equal, all their
    windows are repeated. Only anchors with unequal blocks need the symbols: one copy of each distinct block is
    cut from its text and handed to ``compare``, which gets whole anchor groups in bounded batches.
-3. Groups of more than ``HOT`` distinct blocks are never gathered: their windows are counted by hash.
+3. Groups of more than ``HOT`` distinct blocks are never gathered. Their windows are counted by hash instead, but first in
+   nodes of neighbouring windows: what all windows of a node hold rules the node out if it stands once, and settles it if all that
+   they reach stands twice. So few of a block's windows are counted one by one.
 
 Marks go by the key of the text, so repeated rows and null ids need no care: equal texts have equal marks.
 """
@@ -26,7 +28,9 @@ from tarnish.llm.common import chunks, mix, own, prefix_hashes, range_hashes, si
 from tarnish.session import materialize
 
 #: Distinct blocks of one anchor up to which they are compared within one task.
-HOT = 200
+HOT = 500
+#: Nodes that the windows of a hot block are cut into.
+NODES = 10
 #: Bytes of blocks that are compared together.
 BATCH_BYTES = 1_500_000
 
@@ -144,18 +148,57 @@ def _compared(kind: Kind):
     return run
 
 
-def _window_rows(kind: Kind):
-    """(h, bh, at, wh) for each window of hot blocks: at is the place in the block, wh the hash of the window."""
+def _nodes(kind: Kind, shift: int, count: int) -> list[tuple[int, int, int]]:
+    """(node, lo, hi): the intervals of offsets before the anchor that a block's windows fall in; equal ones for all blocks."""
+    size = max(1, (kind.length - kind.k + 1) // NODES)
+    return [(n, n * size, n * size + size - 1) for n in range((shift - count + 1) // size, shift // size + 1)]
+
+
+def _node_rows(kind: Kind):
+    """(h, bh, node, wh) of hot blocks: for each node the hash of what all its windows hold, as 2 · node, and of all that they
+    reach, as 2 · node + 1, if the block has them all."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out: list[list] = [[], [], [], []]
             for h, bh, shift, block in zip(*(batch.column(c).to_pylist() for c in ("h", "bh", "shift", "block"))):
                 values = kind.of(block)
-                at = np.arange(len(values) - kind.length + 1)
-                wh = range_hashes(prefix_hashes(values), at, at + kind.length)
-                wh = mix(wh ^ mix((shift - at).astype(np.uint64)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), h)), pa.array(np.full(len(at), bh)), pa.array(at), pa.array(signed(wh))],
-                    names=["h", "bh", "at", "wh"])
+                count = len(values) - kind.length + 1
+                found = []
+                for node, lo, hi in _nodes(kind, shift, count):
+                    found.append((2 * node, shift - lo, shift + kind.length - hi))
+                    if hi <= shift and lo > shift - count:
+                        found.append((2 * node + 1, shift - hi, shift + kind.length - lo))
+                of, a, b = np.array(found).T
+                wh = mix(range_hashes(prefix_hashes(values), a, b) ^ mix(of.astype(np.uint64)))
+                for o, v in zip(out, ([h] * len(of), [bh] * len(of), of.tolist(), signed(wh).tolist())):
+                    o.extend(v)
+            yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["h", "bh", "node", "wh"])
+    return run
+
+
+def _window_rows(kind: Kind):
+    """(h, bh, first, last, wh) of hot blocks with the list of their shared nodes: ranges of windows that are repeated (wh null), and
+    each window that may be, with its hash. Of the blocks that settle a node together, one, the lead, shows its windows to others."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for h, bh, shift, block, shared in zip(*(batch.column(c).to_pylist() for c in ("h", "bh", "shift", "block", "nodes"))):
+                values, lead = kind.of(block), {x["node"] // 2 for x in shared if x["lead"] and x["node"] & 1}
+                shared = {x["node"] for x in shared}
+                count = len(values) - kind.length + 1
+                maybe = []
+                for node, lo, hi in _nodes(kind, shift, count):
+                    first, last = max(0, shift - hi), min(count - 1, shift - lo)
+                    if 2 * node + 1 in shared:
+                        for o, v in zip(out, (h, bh, first, last, None)):
+                            o.append(v)
+                    if 2 * node in shared and (2 * node + 1 not in shared or node in lead):
+                        maybe.extend(range(first, last + 1))
+                at = np.array(maybe, np.int64)
+                wh = mix(range_hashes(prefix_hashes(values), at, at + kind.length) ^ mix((shift - at).astype(np.uint64)))
+                for o, v in zip(out, ([h] * len(at), [bh] * len(at), maybe, maybe, signed(wh).tolist())):
+                    o.extend(v)
+            yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["h", "bh", "first", "last", "wh"])
     return run
 
 
@@ -181,10 +224,15 @@ def marks(docs: DataFrame, kind: Kind) -> DataFrame:
 
     ranges = "h bigint, bh bigint, first bigint, last bigint"
     compared = cut.where("not hot").drop("hot").repartition("h").sortWithinPartitions("h").mapInArrow(_compared(kind), ranges)
-    windows = materialize(cut.where("hot").drop("hot").mapInArrow(_window_rows(kind), "h bigint, bh bigint, at bigint, wh bigint"),
-                          "repeat_windows")
-    shared = windows.groupBy("h", "wh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    by_window = windows.join(shared, ["h", "wh"]).selectExpr("h", "bh", "at first", "at last")
+    hot = cut.where("hot").drop("hot")
+    nodes = materialize(hot.mapInArrow(_node_rows(kind), "h bigint, bh bigint, node bigint, wh bigint"), "repeat_nodes")
+    shared = nodes.groupBy("h", "node", "wh").agg(F.count(F.lit(1)).alias("n"), F.min("bh").alias("lead")).where("n > 1")
+    open_ = nodes.join(shared, ["h", "node", "wh"]).groupBy("h", "bh").agg(
+        F.collect_list(F.expr("struct(node, bh = lead as lead)")).alias("nodes"))
+    windows = materialize(hot.join(open_, ["h", "bh"]).mapInArrow(_window_rows(kind), f"{ranges}, wh bigint"), "repeat_windows")
+    shared = windows.where("wh is not null").groupBy("h", "wh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    by_window = windows.where("wh is not null").join(shared, ["h", "wh"]).select("h", "bh", "first", "last").unionByName(
+        windows.where("wh is null").drop("wh"))
     partly = compared.unionByName(by_window).groupBy("h", "bh").agg(F.collect_list(F.struct("first", "last")).alias("parts"))
 
     length = kind.length
