@@ -30,7 +30,7 @@ from tarnish.session import materialize
 #: Distinct blocks of one anchor up to which they are compared within one task.
 HOT = 500
 #: Nodes that the windows of a hot block are cut into.
-NODES = 10
+NODES = 7
 #: Bytes of blocks that are compared together.
 BATCH_BYTES = 1_500_000
 
