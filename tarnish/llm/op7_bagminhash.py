@@ -31,7 +31,7 @@ from tarnish.session import materialize
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Registers of a signature and registers of a band: a pair at the threshold is missed with probability 0.0002.
-REGISTERS, ROWS = 64, 4
+REGISTERS, ROWS = 168, 6
 #: Members of a star that one sorted run of rows compares to their hub, and the number of rounds of stars.
 STAR, ROUNDS = 200, 3
 
@@ -129,8 +129,8 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b[sizes == 0] = 0
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("tk"),
-                 pa.array(signed(key), mask=sizes == 0),
-                 lists(signed(b.ravel()), np.full(len(b), b.shape[1]), pa.int64())], names=["doc_id", "tk", "cid", "bands"])
+                 pa.array(signed(key), mask=sizes == 0), pa.array(np.add.reduceat(np.append(counts, 0), offsets[:-1]) * (sizes > 0)),
+                 lists(signed(b.ravel()), np.full(len(b), b.shape[1]), pa.int64())], names=["doc_id", "tk", "cid", "total", "bands"])
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,39 +166,41 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, tk, class_id, group_id and kept: one row for each row of docs."""
     rows = own(docs, "doc_id", "text").selectExpr("cast(doc_id as bigint) doc_id", "text", f"{text_key()} tk")
-    profiles = materialize(rows.mapInArrow(_profiles, "doc_id bigint, tk bigint, cid bigint, bands array<bigint>"), "near_profiles")
+    profiles = materialize(rows.mapInArrow(_profiles, "doc_id bigint, tk bigint, cid bigint, total bigint, bands array<bigint>"), "near_profiles")
     known = profiles.where("doc_id is not null and cid is not null")
     classes = materialize(known.groupBy("cid").agg(
-        F.min(F.struct("doc_id", "tk")).alias("one"), F.first("bands").alias("bands")).selectExpr(
-            "cid", "one.doc_id class_id", "one.tk tk", "bands"), "near_classes")
+        F.min(F.struct("doc_id", "tk")).alias("one"), F.first("bands").alias("bands"), F.max("total").alias("total")).selectExpr(
+            "cid", "one.doc_id class_id", "one.tk tk", "total", "bands"), "near_classes")
 
-    entries = classes.select("cid", F.posexplode("bands").alias("band", "bh"))
-    full = entries.groupBy("band", "bh").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("hub")).where("n > 1").drop("n")
+    entries = classes.select("cid", "total", F.posexplode("bands").alias("band", "bh"))
+    full = entries.groupBy("band", "bh").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("cid", "total")).alias("hub")).where(
+        "n > 1").selectExpr("band", "bh", "hub.cid hub", "hub.total hub_total")
     buckets = materialize(entries.join(full, ["band", "bh"]), "near_buckets")
     involved = buckets.select("cid").distinct()
     wanted = classes.join(involved, "cid", "left_semi").select("cid", F.col("class_id").alias("_id"), F.col("tk").alias("_tk"))
     texts = rows.join(wanted, F.col("tk").eqNullSafe(F.col("_tk")) & (F.col("doc_id") == F.col("_id"))).select("cid", "text")
     texts = materialize(texts.dropDuplicates(["cid"]), "near_texts")
 
-    seen = compared(buckets.selectExpr("cid a", "hub b").where("a <> b").distinct(), texts)
+    near = lambda a, b: f"{SIMILARITY} * greatest({a}, {b}) <= least({a}, {b}) + 1e-6"  # noqa: E731  bags of other sizes can't link
+    seen = compared(buckets.where(f"cid <> hub and {near('total', 'hub_total')}").selectExpr("cid a", "hub b").distinct(), texts)
     measured = [seen]
     to_hub = buckets.join(seen.withColumnsRenamed({"a": "cid", "b": "hub"}), ["cid", "hub"], "left").withColumn(
-        "similarity", F.coalesce("similarity", F.lit(1.0)))
+        "similarity", F.expr("if(cid = hub, 1.0D, similarity)"))  # null where the sizes ruled the hub out
     for step in range(1, ROUNDS + 1):
         labels = components(_links(measured))
         labelled = materialize(to_hub.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn(
             "component", F.coalesce("component", "cid")), "near_labelled")
         split = labelled.groupBy("band", "bh").agg(
             F.min("component").alias("lo"), F.max("component").alias("hi"),
-            F.min(F.struct(F.xxhash64("cid", F.lit(step)), F.col("cid"), F.col("component"))).alias("next")).where("lo <> hi")
-        open_ = labelled.join(split.selectExpr("band", "bh", "next.cid b", "next.component bc"), ["band", "bh"])
+            F.min(F.struct(F.xxhash64("cid", F.lit(step)), F.col("cid"), F.col("component"), F.col("total"))).alias("next")).where("lo <> hi")
+        open_ = labelled.join(split.selectExpr("band", "bh", "next.cid b", "next.component bc", "next.total bt"), ["band", "bh"])
         if step < ROUNDS:
-            pairs = open_.where("component <> bc").selectExpr("cid a", "b")
+            pairs = open_.where(f"component <> bc and {near('total', 'bt')}").selectExpr("cid a", "b")
         else:
-            x = open_.selectExpr("band", "bh", "cid a", "component ac", "similarity sa")
-            y = open_.selectExpr("band", "bh", "cid b", "component bc", "similarity sb")
+            x = open_.selectExpr("band", "bh", "cid a", "component ac", "similarity sa", "total at")
+            y = open_.selectExpr("band", "bh", "cid b", "component bc", "similarity sb", "total bt")
             pairs = x.join(y, ["band", "bh"]).where(
-                f"ac <> bc and a < b and abs(sa - sb) <= {1 - SIMILARITY} + 1e-9").select("a", "b")
+                f"ac <> bc and a < b and {near('at', 'bt')} and coalesce(abs(sa - sb) <= {1 - SIMILARITY} + 1e-9, true)").select("a", "b")
         measured.append(compared(pairs.distinct(), texts))
     labels = components(_links(measured))
     found = classes.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn(
