@@ -8,8 +8,9 @@ generated, which makes a signature cost little more than one point for each shin
 
 Texts with equal bags form a class. Classes meet in bands of registers; in each bucket they are compared to one hub, as a
 star; links found make groups; buckets that still hold several groups get other hubs; what is then left is compared in pairs of
-different groups only, without those that the triangle inequality of the distance 1 - similarity rules out. So no link that could
-join two groups is lost, and a bucket of copies costs one comparison for each.
+different groups only, without those that a bound rules out: the triangle inequality of the distance 1 - similarity, the sizes of
+the bags, and the shingles of each that no other text left holds, as they can't be shared. So no link that could join two groups
+is lost, a bucket of copies costs one comparison for each, and copies with too many edits of their own cost little.
 
 Defined results: a row with a null id or without words is in no group and is kept; its class_id and group_id are its own id.
 Rows that repeat an id with an equal text share one verdict. Group ids are the least doc_id.
@@ -34,6 +35,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 REGISTERS, ROWS = 168, 6
 #: Members of a star that one sorted run of rows compares to their hub, and the number of rounds of stars.
 STAR, ROUNDS = 200, 3
+#: Hash slots of shingles, and shares of them that one task counts.
+SLOTS, SHARES = 1 << 24, 256
 
 
 def bags(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,6 +166,64 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(rows.mapInArrow(_stars, "a bigint, b bigint, similarity double"), "near_similarities")
 
 
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def _slot_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each share of the slots, the slots of all shingles of each chunk of texts; a text lists a slot once."""
+    width = SLOTS // SHARES
+    for batch in batches:
+        for part in chunks(batch):
+            shingles, _, offsets = bags(part.column("text"))
+            text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+            slots = np.sort(np.unique(text * SLOTS + _slots(shingles)) % SLOTS)
+            sizes = np.diff(np.searchsorted(slots, np.arange(0, SLOTS + 1, width)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SHARES, dtype=np.int32)), lists(slots % width, sizes, pa.int32())],
+                                             names=["share", "slots"])
+
+
+def _slots_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bits of the slots that more than one text lists, for each share; rows come sorted by share."""
+    share, seen = None, np.zeros(SLOTS // SHARES, np.int64)
+
+    def emit():
+        return pa.RecordBatch.from_arrays([pa.array([share], pa.int32()), pa.array([np.packbits(seen > 1).tobytes()])], names=["share", "bits"])
+
+    for batch in batches:
+        for s, slots in zip(batch.column("share").to_pylist(), batch.column("slots")):
+            if s != share:
+                if share is not None:
+                    yield emit()
+                share, seen = s, np.zeros(SLOTS // SHARES, np.int64)
+            seen += np.bincount(np.asarray(slots.values), minlength=len(seen))
+    if share is not None:
+        yield emit()
+
+
+def common_counts(texts: DataFrame) -> DataFrame:
+    """(cid, common): an upper bound of the shingles of each text that any other of the texts holds, by hash slots.
+
+    The table of slots has a fixed size; where it fills up, the bound grows and rules out less, but stays a bound.
+    """
+    shares = texts.select("text").mapInArrow(_slot_lists, "share int, slots array<int>").repartition("share").sortWithinPartitions(
+        "share").mapInArrow(_slots_twice, "share int, bits binary").collect()  # SLOTS / 8 bytes in all
+    twice = np.zeros(SLOTS, bool)
+    width = SLOTS // SHARES
+    for r in shares:
+        twice[r["share"] * width: (r["share"] + 1) * width] = np.unpackbits(np.frombuffer(r["bits"], np.uint8))
+    table = texts.sparkSession.sparkContext.broadcast(twice)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                shingles, counts, offsets = bags(part.column("text"))
+                held = np.concatenate([[0], np.cumsum(counts * table.value[_slots(shingles)])])
+                yield pa.RecordBatch.from_arrays([part.column("cid"), pa.array(held[offsets[1:]] - held[offsets[:-1]])], names=["cid", "common"])
+
+    return materialize(texts.mapInArrow(run, "cid bigint, common bigint"), "near_common")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, tk, class_id, group_id and kept: one row for each row of docs."""
     rows = own(docs, "doc_id", "text").selectExpr("cast(doc_id as bigint) doc_id", "text", f"{text_key()} tk")
@@ -197,10 +258,14 @@ def groups(docs: DataFrame) -> DataFrame:
         if step < ROUNDS:
             pairs = open_.where(f"component <> bc and {near('total', 'bt')}").selectExpr("cid a", "b")
         else:
-            x = open_.selectExpr("band", "bh", "cid a", "component ac", "similarity sa", "total at")
-            y = open_.selectExpr("band", "bh", "cid b", "component bc", "similarity sb", "total bt")
+            left = open_.select("cid").distinct()
+            open_ = open_.drop("bc").join(common_counts(texts.join(left, "cid", "left_semi")), "cid").where(
+                f"common >= {SIMILARITY} * total")
+            x = open_.selectExpr("band", "bh", "cid a", "component ac", "similarity sa", "total at", "common am")
+            y = open_.selectExpr("band", "bh", "cid b", "component bc", "similarity sb", "total bt", "common bm")
             pairs = x.join(y, ["band", "bh"]).where(
-                f"ac <> bc and a < b and {near('at', 'bt')} and coalesce(abs(sa - sb) <= {1 - SIMILARITY} + 1e-9, true)").select("a", "b")
+                f"ac <> bc and a < b and {near('at', 'bt')} and coalesce(abs(sa - sb) <= {1 - SIMILARITY} + 1e-9, true)"
+                f" and least(am, bm) >= {SIMILARITY} * (at + bt - least(am, bm))").select("a", "b")
         measured.append(compared(pairs.distinct(), texts))
     labels = components(_links(measured))
     found = classes.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn(
