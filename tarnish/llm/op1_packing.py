@@ -16,7 +16,8 @@ Defined results: a null or empty text is one end id; repeated rows are each pack
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import base64
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnish.llm.common import own, table, text_key
-from tarnish.llm.op5_sentencepiece import Remembered, loaded, model_path
+from tarnish.llm.op5_sentencepiece import Remembered, loaded
 
 #: Ids in a row, id of the padding, and bytes of text in a group.
 LENGTH, PAD, GROUP_BYTES = 2048, 0, 8 << 20
-_IDS: dict[str, Remembered] = {}
+_ENCODERS: dict[str, tuple[Callable[[str], bytes], str]] = {}
+
+
+def ranks_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def encoder(path: str) -> tuple[Callable[[str], bytes], str]:
+    """A text's ids with an end id, as little-endian bytes, and the type of an id; made once by each Python worker. A file of ranks
+    is byte-level BPE, its first free id the end; any other file is a SentencePiece model."""
+    if path not in _ENCODERS:
+        if path.endswith(".tiktoken"):
+            import public_tokenizers
+            import tiktoken
+
+            with open(path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            kind = "<u2" if len(ranks) < 1 << 16 else "<u4"
+            bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            end = np.array([max(ranks.values()) + 1], kind).tobytes()
+            _ENCODERS[path] = (lambda text: np.array(bpe.encode_ordinary(text), kind).tobytes() + end), kind
+        else:
+            table = loaded(path)
+            kind = "<u2" if len(table.pieces) <= 1 << 16 else "<u4"
+            known = Remembered(lambda s: np.array(table.segment(s), kind).tobytes())
+            end = np.array([table.end], kind).tobytes()
+            _ENCODERS[path] = (lambda text: b"".join([known[s] for s in table.split(text)]) + end), kind
+    return _ENCODERS[path]
 
 
 class Room:
@@ -84,21 +114,19 @@ def best_fit_decreasing(sizes: list[int], length: int) -> list[list[int]]:
 
 def packed(docs: DataFrame, path: str, length: int = LENGTH, pad: int = PAD) -> DataFrame:
     """The rows of the id matrices of all documents."""
-    kind = "<u2" if len(loaded(path).pieces) <= 1 << 16 else "<u4"
+    kind = encoder(path)[1]
     wide = np.dtype(kind).itemsize
     rows = own(docs, "doc_id", "text").withColumn("key", F.expr(f"xxhash64(cast(doc_id as string), {text_key()})"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // GROUP_BYTES))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = loaded(path)
-        known = _IDS.setdefault(path, Remembered(lambda s: np.array(table.segment(s), kind).tobytes()))
-        end = np.array([table.end], kind).tobytes()
+        encode, _ = encoder(path)
         step = length * wide
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for i, text in enumerate(batch.column("text")):
-                data = b"".join([known[s] for s in table.split(text.as_py() or "")]) + end
+                data = encode(text.as_py() or "")
                 for p in range(0, len(data), step):
                     for o, v in zip(out, (i, p // step, min(step, len(data) - p) // wide, data[p: p + step])):
                         o.append(v)
@@ -159,4 +187,4 @@ def unpacked(packs: DataFrame, kind: str = "<u2") -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"), model_path())
+    return packed(table(spark, sf_dir, "documents"), ranks_path())
