@@ -1,7 +1,7 @@
 """SQL of metrics, profiles, the paired sweep, the gate and their summaries."""
 
 from oracle.base import sql
-from oracle.corruption_sql import (currency, days, drawn, hash_of, hit, hour, missing, misread, taxonomy)
+from oracle.corruption_sql import (currency, days, drawn, hash_of, hit, hour, missing, misread, pick, taxonomy)
 from tarnish.fixed_values import (CATEGORICAL_COLS, FAMILIES, MONETARY_COLS, SEEDS,
                                   SWEEP_FAMILIES, T1_EXTRA_FEATURE_COLS, T2_FEATURE_COLS, TAXONOMY_COLS, TEXT_COLS,
                                   TIME_DAY_COLS)
@@ -84,7 +84,7 @@ def cells_table(cells):
     return (f"SELECT * FROM (VALUES {rows}) t(task, family, severity_label, severity, seed, sample_seed, drifted)")
 
 
-def corrupted(c, task):
+def corrupted(c, task, noise=False):
     """A column under the row's own cell."""
     s = "severity"
     parts = [f"WHEN family = 'missing_injection' THEN {missing(c, s)}",
@@ -100,6 +100,12 @@ def corrupted(c, task):
     if c in TAXONOMY_COLS or c in TEXT_COLS:
         parts.append(f"WHEN family = 'mojibake_roundtrip' AND {hit('mojibake_roundtrip', c, s)} AND {c} IS NOT NULL "
                      f"THEN m_{c}")
+    if noise and c in CATEGORICAL_COLS:
+        lv = f"(SELECT list(DISTINCT {c} ORDER BY {c}) FILTER ({c} IS NOT NULL) FROM order_features)"
+        at = pick("label_noise_categorical", c, f"len({lv})")
+        parts.append(f"WHEN family = 'label_noise_categorical' AND {hit('label_noise_categorical', c, s)} AND len({lv}) >= 2 THEN "
+                     f"CASE WHEN {lv}[{at} + 1] IS NOT DISTINCT FROM {c} THEN {lv}[({at} + 1) % len({lv}) + 1] "
+                     f"ELSE {lv}[{at} + 1] END")
     return f"CASE {' '.join(parts)} ELSE {c} END"
 
 
@@ -189,7 +195,7 @@ EXISTING = f"""SELECT DISTINCT ['t1', 't2', 't3'][user_id % 3 + 1] AS task,
 def _many_cells():
     cells = sweep_plan(["t2"], FAMILIES)
     garbled = ", ".join(f"coalesce({misread(c)}, '') AS m_{c}" for c in TAXONOMY_COLS)
-    shown = ", ".join(f"{corrupted(c, 't2')} AS x_{c}" for c in T2_FEATURE_COLS)
+    shown = ", ".join(f"{corrupted(c, 't2', noise=True)} AS x_{c}" for c in T2_FEATURE_COLS)
     out = ", ".join(f"x_{c} AS {c}" for c in T2_FEATURE_COLS)
     flipped = "concat_ws(',', " + ", ".join(
         f"CASE WHEN family = 'type_flip' AND {c} IS NOT NULL AND {hit('type_flip', c, 'severity')} THEN '{c}' END"

@@ -257,14 +257,16 @@ def apply(df: DataFrame, family: str, severity: float, seed: int, **options) ->
 
 # ---- many cells in one plan ----
 
-def corrupt_cells(df: DataFrame, features: list[str], key: str = KEY) -> DataFrame:
+def corrupt_cells(df: DataFrame, features: list[str], key: str = KEY,
+                  levels: dict[str, list[str] | None] | None = None) -> DataFrame:
     """Corrupt rows that already carry their cell as columns family, severity, seed, drifted.
 
-    ``drifted`` names the columns a schema_drift cell hides. Duplicated rows and level
-    swaps do not occur here: the former never enter a paired sample, the latter need
-    frame-level levels. ``_flipped`` lists the columns whose value arrives as text.
+    ``drifted`` names the columns a schema_drift cell hides. Duplicated rows do not occur
+    here, as they never enter a paired sample. Level swaps need ``levels`` of the full
+    frame; such a cell without them is an error. ``_flipped`` lists the columns whose value arrives as text.
     """
     numeric, h, severity = set(S.numeric_columns(df)), "_h", "severity"
+    swapped = set(S.categorical_columns(df))
 
     def cell_value(c: str) -> str:
         cases = {"missing_injection": missing_value(c, h, severity),
@@ -279,6 +281,13 @@ def corrupt_cells(df: DataFrame, features: list[str], key: str = KEY) -> DataFra
             cases["category_taxonomy_drift"] = drifted_category(c, h, severity)
         if c in fv.TAXONOMY_COLS or c in fv.TEXT_COLS:
             cases["mojibake_roundtrip"] = misread_text(c, h, severity)
+        if c in swapped:
+            if levels is None:
+                cases["label_noise_categorical"] = "raise_error('level swaps need the levels of the full frame')"
+            elif levels[c] is None:
+                cases["label_noise_categorical"] = f"raise_error('too many levels for cells: {c}')"
+            else:
+                cases["label_noise_categorical"] = swapped_level(c, h, severity, levels[c])
         whens = " ".join(f"when '{family}' then {value}" for family, value in cases.items())
         return f"case family {whens} else `{c}` end as `{c}`"
 
