@@ -31,8 +31,8 @@ def test_cells_equal_the_single_family_transform(spark, features):
     columns = fv.T2_FEATURE_COLS
     for c in cells:
         mine = got.filter(F.col("family") == c.family).select("order_id", *columns)
-        if c.family in ("duplicate_rows", "label_noise_categorical", "type_flip"):
-            want = features  # as values: rows of the sample are never copies, swapped levels need the frame
+        if c.family in ("duplicate_rows", "type_flip"):
+            want = features  # as values: rows of the sample are never copies
         else:
             want = C.apply(features, c.family, c.severity, c.seed)
         aligned = S.align_columns(want, [(x, features.schema[x].dataType.simpleString()) for x in columns], ["order_id"])
