@@ -48,13 +48,14 @@ PROMPTS = {
             AS agent_score, 't2' AS task FROM answers""",
 }
 K = "CAST(json_extract(props, '$.k') AS INTEGER)"
-GOOD = "(0, 1, 2, 7, 9, 10, 14)"
-PARSED = f"""SELECT *, event_id % 16 IN {GOOD} AS ok,
-    CASE WHEN event_id % 16 IN (1, 14) THEN 0 WHEN event_id % 16 IN {GOOD} THEN 1 ELSE -1 END AS prediction,
-    CASE WHEN event_id % 16 = 14 THEN 0.5::DOUBLE WHEN event_id % 16 IN {GOOD} THEN {K} / 100.0::DOUBLE ELSE 0 END AS confidence,
-    CASE WHEN event_id % 16 = 14 THEN substring(repeat(event_type, 150), 1, 400) WHEN event_id % 16 IN {GOOD} THEN event_type
+GOOD = "(0, 1, 2, 7, 9, 10, 14, 16, 17, 18, 19, 20)"
+PARSED = f"""SELECT *, event_id % 21 IN {GOOD} AS ok,
+    CASE WHEN event_id % 21 IN (1, 14, 17, 19) THEN 0 WHEN event_id % 21 IN {GOOD} THEN 1 ELSE -1 END AS prediction,
+    CASE WHEN event_id % 21 IN (14, 20) THEN 0.5::DOUBLE WHEN event_id % 21 = 19 THEN 0.25::DOUBLE WHEN event_id % 21 IN {GOOD} THEN {K} / 100.0::DOUBLE ELSE 0 END AS confidence,
+    CASE WHEN event_id % 21 = 14 THEN substring(repeat(event_type, 150), 1, 400) WHEN event_id % 21 = 19 THEN 'in'
+        WHEN event_id % 21 = 20 THEN 'None' WHEN event_id % 21 IN {GOOD} THEN event_type
         ELSE '' END AS rationale,
-    CASE event_id % 16 WHEN 3 THEN 'missing keys' WHEN 4 THEN 'missing keys' WHEN 5 THEN 'prediction must be 0 or 1'
+    CASE event_id % 21 WHEN 3 THEN 'missing keys' WHEN 4 THEN 'missing keys' WHEN 5 THEN 'prediction must be 0 or 1'
         WHEN 6 THEN 'confidence out of [0,1]' WHEN 8 THEN 'prediction is not a number' WHEN 11 THEN 'no JSON object'
         WHEN 12 THEN 'not an object' WHEN 13 THEN 'no JSON object' WHEN 15 THEN 'prediction is not a number' END AS error
     FROM events"""
@@ -64,12 +65,15 @@ def _good(p, c=f"'0.' || lpad(CAST({K} AS VARCHAR), 2, '0')"):
     return f"""'{{"prediction": ' || '{p}' || ', "confidence": ' || {c} || ', "rationale": "' || event_type || '"}}'"""
 
 
-RAW = f"""CASE event_id % 16 WHEN 0 THEN {_good('1')} WHEN 1 THEN '```json' || chr(10) || {_good('0')} || chr(10) || '```'
+RAW = f"""CASE event_id % 21 WHEN 0 THEN {_good('1')} WHEN 1 THEN '```json' || chr(10) || {_good('0')} || chr(10) || '```'
     WHEN 2 THEN 'My answer: ' || {_good('1')} || ' I hope it helps.' WHEN 3 THEN 'see {{"a": {{"prediction": 1}}}} there'
     WHEN 4 THEN '{{"prediction": 1}}' WHEN 5 THEN {_good('2')} WHEN 6 THEN {_good('1', "'1.2'")} WHEN 7 THEN {_good('"1"')}
     WHEN 8 THEN {_good('"1.9"')} WHEN 9 THEN {_good('1.9')} WHEN 10 THEN {_good('true')} WHEN 11 THEN ''
     WHEN 12 THEN '[1, 2]' WHEN 14 THEN '  {{"confidence": "0.5", "prediction": 0, "rationale": "' || repeat(event_type, 150)
-        || '"}}' || chr(10) WHEN 15 THEN '{{"prediction": null, "confidence": 0.5}}' END"""
+        || '"}}' || chr(10) WHEN 15 THEN '{{"prediction": null, "confidence": 0.5}}'
+    WHEN 16 THEN '1 ' || {_good('1')} WHEN 17 THEN 'true' || chr(10) || {_good('0')} WHEN 18 THEN '"late" ' || {_good('1')}
+    WHEN 19 THEN '{{"prediction": 1, "confidence": 0.9, "inner": {{"prediction": 0, "confidence": 0.25, "rationale": "in"}}}} so'
+    WHEN 20 THEN '{{"prediction": 1, "confidence": 0.5, "rationale": null}}' END"""
 TOKENS = ("user_id * 7 + 100 AS prompt_tokens, length(event_type) AS completion_tokens, "
           "user_id * 7 + 100 + length(event_type) AS total_tokens")
 TASK = "['t1', 't2', 't3'][user_id % 3 + 1] AS task"

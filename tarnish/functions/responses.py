@@ -50,12 +50,32 @@ def _as_number(v: Column) -> Column:
     )
 
 
+def complete_json(text: Column) -> Column:
+    """The JSON value that the whole text spells; NULL if anything stands before or after it.
+
+    The parser itself reads one value and ignores the rest, so the text is read as the only item of a list.
+    """
+    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    return F.when(F.size(items) == 1, F.get(items, F.lit(0)))
+
+
+def _as_text(v: Column) -> Column:
+    """Missing is empty; null and truth values are spelled as the contract's reader prints them."""
+    kind = F.schema_of_variant(v)
+    return (
+        F.when(v.isNull(), F.lit(""))
+        .when(kind == "VOID", F.lit("None"))
+        .when(kind == "BOOLEAN", F.initcap(v.try_cast("string")))
+        .otherwise(F.coalesce(v.try_cast("string"), F.to_json(v)))
+    )
+
+
 def parse_answer(df: DataFrame, raw: str) -> DataFrame:
     """Adds prediction (-1 when unusable), confidence, rationale, ok, error."""
     kept = df.columns
     text = df.select("*", unfenced(F.col(raw)).alias("_text"))
-    whole = F.try_parse_json("_text")
-    part = F.try_parse_json(F.nullif(F.regexp_extract("_text", r"\{[^{}]*\}", 0), F.lit("")))
+    whole = complete_json(F.col("_text"))
+    part = complete_json(F.regexp_extract("_text", r"\{[^{}]*\}", 0))
     parsed = text.select("*", whole.alias("_whole"), part.alias("_part"))
     parsed = parsed.select(*kept, F.coalesce("_whole", "_part").alias("_json"))
     read = parsed.select(
@@ -71,7 +91,7 @@ def parse_answer(df: DataFrame, raw: str) -> DataFrame:
         .when(~F.col("_pi").isin(0.0, 1.0), F.lit("prediction must be 0 or 1"))
         .when(~F.col("_cf").between(0.0, 1.0), F.lit("confidence out of [0,1]"))
     )
-    rationale = F.coalesce(F.try_variant_get("_json", "$.rationale", "string"), F.lit(""))
+    rationale = F.when(F.col("_object"), _as_text(_field(F.col("_json"), "rationale")))
     checked = values.select("*", error.alias("error"))
     ok = F.col("error").isNull()
     return checked.select(

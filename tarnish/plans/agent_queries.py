@@ -54,7 +54,7 @@ def g1(spark, sf):
 
 
 def raw_answers(spark, sf):
-    """One answer per event, of sixteen shapes, from well-formed to unusable."""
+    """One answer per event, of twenty-one shapes, from well-formed to unusable."""
     k = F.get_json_object("props", "$.k")
     conf = F.concat(F.lit("0."), F.lpad(k, 2, "0"))
     good = lambda p, c=conf: F.concat(
@@ -68,8 +68,11 @@ def raw_answers(spark, sf):
         F.concat(F.lit('  {"confidence": "0.5", "prediction": 0, "rationale": "'), F.repeat(F.col("event_type"), 150),
                  F.lit('"}\n')),
         F.lit('{"prediction": null, "confidence": 0.5}'),
+        F.concat(F.lit("1 "), good("1")), F.concat(F.lit("true\n"), good("0")), F.concat(F.lit('"late" '), good("1")),
+        F.lit('{"prediction": 1, "confidence": 0.9, "inner": {"prediction": 0, "confidence": 0.25, "rationale": "in"}} so'),
+        F.lit('{"prediction": 1, "confidence": 0.5, "rationale": null}'),
     ]
-    raw = F.element_at(F.array(*shapes), (F.col("event_id") % 16 + 1).cast("int"))
+    raw = F.element_at(F.array(*shapes), (F.col("event_id") % 21 + 1).cast("int"))
     return A.read_table(spark, sf, "events").withColumn("raw", raw)
 
 

@@ -61,11 +61,18 @@ CASES = [
     ('{"prediction": -0.5, "confidence": 0.25}', (0, 0.25, "", True)),
     ('{"prediction": true, "confidence": false}', (1, 0.0, "", True)),
     ('{"prediction": 1, "confidence": 1e-1, "rationale": 12}', (1, 0.1, "12", True)),
+    ('1 {"prediction": 1, "confidence": 0.9}', (1, 0.9, "", True)),
+    ('true\n{"prediction": 0, "confidence": 0.9}', (0, 0.9, "", True)),
+    ('"late" {"prediction": 1, "confidence": 0.9}', (1, 0.9, "", True)),
+    ('{"prediction": 1, "confidence": 0.9, "in": {"prediction": 0, "confidence": 0.25}} so', (0, 0.25, "", True)),
+    ('{"prediction": 1, "confidence": 0.5},{"prediction": 0, "confidence": 0.5}', (1, 0.5, "", True)),
+    ('{"prediction": 1, "confidence": 0.5, "rationale": null}', (1, 0.5, "None", True)),
+    ('{"prediction": 1, "confidence": 0.5, "rationale": false}', (1, 0.5, "False", True)),
     ('{"prediction": 1, "confidence": 0.1, "rationale": "' + "z" * 500 + '"}', (1, 0.1, "z" * 400, True)),
 ] + [(bad, (-1, 0.0, "", False)) for bad in [
     '{"prediction": "1.9", "confidence": 0.5}', '{"prediction": 2, "confidence": 0.5}', '{"prediction": 1}',
     '{"prediction": 1, "confidence": 1.2}', '{"prediction": null, "confidence": 0.5}', "", "nothing", "[1, 2]", "5", "null",
-    '{"prediction": 1, "confidence": [0.5]}', '{"prediction": 1, "confidence": "high"}', "{broken", None]]
+    '[{"prediction": 1, "confidence": 0.5}]', "], [", '{"prediction": 1, "confidence": [0.5]}', '{"prediction": 1, "confidence": "high"}', "{broken", None]]
 
 
 def test_answers(spark):
