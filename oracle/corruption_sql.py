@@ -92,21 +92,6 @@ def _noise(columns_out):
     return sql(f"SELECT {body} FROM cf", **extra, cf=HASHED)
 
 
-def _noise_by_index():
-    """The many-levels form: levels numbered by (bucket, level) instead of by level."""
-    changed, extra = {}, {}
-    for c in CATEGORICAL_COLS:
-        extra[f"lv_{c}"] = (f"SELECT list({c} ORDER BY {hash_of(chr(39) + '0' + chr(39), c)} % 4096, {c}) AS l "
-                            f"FROM (SELECT DISTINCT {c} FROM order_features WHERE {c} IS NOT NULL)")
-        n, lv = f"(SELECT len(l) FROM lv_{c})", f"(SELECT l FROM lv_{c})"
-        at = pick("label_noise_categorical", c, n)
-        changed[c] = (f"CASE WHEN {hit('label_noise_categorical', c)} THEN "
-                      f"CASE WHEN {lv}[{at} + 1] IS NOT DISTINCT FROM {c} THEN {lv}[({at} + 1) % {n} + 1] "
-                      f"ELSE {lv}[{at} + 1] END ELSE {c} END")
-    body = ", ".join(f"{changed[c]} AS {c}" for c in CATEGORICAL_COLS)
-    return sql(f"SELECT order_id, {body} FROM cf", **extra, cf=HASHED)
-
-
 def _flip():
     values = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in NUMERIC)
     flags = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN {hit('type_flip', c)} END AS {c}_is_text" for c in NUMERIC)
@@ -187,8 +172,11 @@ SQL = {
     "c1_missing_injection": frame({c: missing(c) for c in FEATURES}),
     "c2_type_flip": _flip(),
     "c3_label_noise_categorical": _noise(ALL),
-    "c3_label_noise_many_levels": _noise_by_index(),
+    "c3_label_noise_many_levels": _noise(["order_id", *CATEGORICAL_COLS]),
     "c4_duplicate_rows": _copies(),
+    "c4_duplicate_rows_twice": sql("""SELECT n1 + CAST(round_even(0.5 * n1, 0) AS BIGINT) AS n_rows, n_splits FROM (
+        SELECT n + CAST(round_even(0.5 * n, 0) AS BIGINT) AS n1, n_splits FROM (
+            SELECT count(*) AS n, count(DISTINCT split) AS n_splits FROM order_features))"""),
     "c5_schema_drift": sql("SELECT " + ", ".join(
         f"{c} AS {drifted_names(FEATURES, SEVERITY, SEED).get(c, c)}" for c in ALL) + " FROM order_features"),
     "c6_currency_unit_drift": frame({c: currency(c) for c in MONETARY_COLS}),

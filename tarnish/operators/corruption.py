@@ -9,18 +9,20 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnish import fixed_values as fv
 from tarnish.functions import scalars as S
 from tarnish.functions.keyed_hash import hit, pick, row_hash
 from tarnish.functions.shapes import unpivot
-from tarnish.operators.dense_index import dense_index
+from tarnish.operators.dense_index import dense_index, sorted_index
+from tarnish.session import materialize
 
 KEY = "order_id"
-LEVEL_LITERAL_LIMIT = 1000
+SWAP = "label_noise_categorical"
 
 
 # ---- column expressions as SQL text, shared by the single-cell and the many-cell form ----
@@ -118,17 +120,30 @@ def level_table(df: DataFrame, columns: list[str]) -> DataFrame:
         "column", F.col("value").alias("level")).distinct()
 
 
-def small_levels(df: DataFrame, columns: list[str], limit: int = LEVEL_LITERAL_LIMIT) -> dict[str, list[str] | None]:
-    """Sorted levels of each column; None for a column with more than ``limit`` of them.
+@dataclass
+class Levels:
+    """The levels of some columns in ascending order: rows (column, at, level, following), and how many each column has."""
 
-    At most ``limit`` + 1 levels per column reach the driver.
+    rows: DataFrame
+    n: dict[str, int]
+
+
+def indexed_levels(df: DataFrame, columns: list[str]) -> Levels:
+    """Levels of ``df`` numbered by sorting in ranges; they stay a table, however many they are.
+
+    One position and one count per column reach the driver.
     """
-    w = Window.partitionBy("column").orderBy("level")
-    kept = level_table(df, columns).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit + 1)
-    found: dict[str, list[str] | None] = {c: [] for c in columns}
-    for r in kept.select("column", "level").collect():
-        found[r["column"]].append(r["level"])
-    return {c: (None if len(v) > limit else sorted(v)) for c, v in found.items()}
+    found = sorted_index(level_table(df, columns), ["column", "level"], "level-order")
+    firsts = {r["column"]: (r["first"], r["n"]) for r in found.groupBy("column").agg(
+        F.min("_idx").alias("first"), F.count(F.lit(1)).alias("n")).collect()}
+    n = {c: firsts.get(c, (0, 0))[1] for c in columns}
+    bounds = " ".join(f"when '{c}' then {first}L" for c, (first, _) in firsts.items())
+    sizes = " ".join(f"when '{c}' then {size}L" for c, (_, size) in firsts.items())
+    if not firsts:
+        return Levels(found.selectExpr("`column`", "_idx as at", "level", "level as following"), n)
+    placed = found.selectExpr("`column`", f"_idx - case `column` {bounds} end as at", "level")
+    before = placed.selectExpr("`column`", f"pmod(at - 1, case `column` {sizes} end) as at", "level as following")
+    return Levels(materialize(placed.join(before, ["column", "at"]), "levels"), n)
 
 
 def swapped_level(c: str, h: str, severity, levels: list[str]) -> str:
@@ -136,48 +151,45 @@ def swapped_level(c: str, h: str, severity, levels: list[str]) -> str:
     n = len(levels)
     if n < 2:
         return f"`{c}`"
-    array, at = f"array({', '.join(map(_text, levels))})", pick(h, "label_noise_categorical", c, n)
+    array, at = f"array({', '.join(map(_text, levels))})", pick(h, SWAP, c, n)
     drawn = f"element_at({array}, cast({at} + 1 as int))"
     following = f"element_at({array}, cast(({at} + 1) % {n} + 1 as int))"
     changed = f"if({drawn} <=> `{c}`, {following}, {drawn})"
-    return f"if({hit(h, 'label_noise_categorical', c, severity)}, {changed}, `{c}`)"
+    return f"if({hit(h, SWAP, c, severity)}, {changed}, `{c}`)"
 
 
-def _swap_by_join(df: DataFrame, c: str, severity, seed, key: str) -> DataFrame:
-    """``swapped_level`` for a column with too many levels for a literal.
+def swap_levels(df: DataFrame, columns: list[str], levels: Levels, severity, h: str = "_h", only: str = "true") -> DataFrame:
+    """``swapped_level`` against a table of levels, for the rows that satisfy ``only``.
 
-    Levels get a dense index; a hit row joins the level at its drawn index. Rows that
-    are not hit carry spread-out negative indexes, so no join key is hot.
+    A hit row joins the level at its drawn place. Rows that are not hit carry spread-out negative
+    places, so no join key is hot; Spark broadcasts the levels when their files are small.
+    """
+    for c in columns:
+        n = levels.n.get(c, 0)
+        if n < 2:
+            continue
+        at = f"if({only} and {hit(h, SWAP, c, severity)}, {pick(h, SWAP, c, n)}, -1L - {h}) as _at"
+        mine = levels.rows.where(F.col("column") == c).selectExpr("at as _at", "level as _level", "following as _next")
+        value = f"case when _level is null then `{c}` when _level <=> `{c}` then _next else _level end as `{c}`"
+        df = df.selectExpr("*", at).join(mine, "_at", "left").selectExpr(
+            *[value if x == c else f"`{x}`" for x in df.columns])
+    return df
+
+
+def label_noise_categorical(df, severity, seed, key=KEY, levels: Levels | dict[str, list[str]] | None = None):
+    """``levels`` fixes the levels, as a table or (as a stream needs) as sorted lists; else they are read from ``df``.
+
+    Both forms give the same values for the same levels.
     """
-    levels = df.select(F.col(c).alias("_level")).filter(F.col(c).isNotNull()).distinct()
-    indexed = dense_index(levels, "_level", "_at")
-    n = indexed.n
-    if n < 2:
-        return df
-    following = indexed.rows.select(F.col("_level").alias("_next"), F.pmod(F.col("_at") - 1, F.lit(n)).alias("_at"))
-    table = indexed.rows.join(following, "_at")
-    family = "label_noise_categorical"
-    drawn = f"if({hit('_h', family, c, float(severity))}, {pick('_h', family, c, n)}, -1 - _h)"
-    hashed = df.select("*", row_hash(seed, F.col(key)).alias("_h")).withColumn("_at", F.expr(drawn))
-    changed = F.when(F.col("_level").eqNullSafe(F.col(c)), F.col("_next")).otherwise(F.col("_level"))
-    joined = hashed.join(table, "_at", "left")
-    return joined.select(*[
-        F.when(F.col("_level").isNotNull(), changed).otherwise(F.col(c)).alias(c) if x == c else F.col(x)
-        for x in df.columns])
-
-
-def label_noise_categorical(df, severity, seed, key=KEY, levels: dict[str, list[str] | None] | None = None):
-    """``levels`` fixes the levels of each column (as a stream needs); else they are read from ``df``."""
     columns = S.categorical_columns(df)
     if not columns:
         return df
-    levels = small_levels(df, columns) if levels is None else levels
-    short = [c for c in columns if levels.get(c) is not None]
-    out = _replace(df, seed, key, short, lambda c, h, s: swapped_level(c, h, s, levels[c]), severity)
-    for c in columns:
-        if c in levels and levels[c] is None:
-            out = _swap_by_join(out, c, severity, seed, key)
-    return out
+    if isinstance(levels, dict):
+        return _replace(df, seed, key, columns, lambda c, h, s: swapped_level(c, h, s, sorted(levels[c])), severity)
+    levels = indexed_levels(df, columns) if levels is None else levels
+    keys = [key] if isinstance(key, str) else key
+    hashed = df.select("*", row_hash(seed, *[F.col(k) for k in keys]).alias("_h"))
+    return swap_levels(hashed, columns, levels, float(severity)).select(*df.columns)
 
 
 def round_half_even(x: float) -> int:
@@ -194,21 +206,29 @@ def duplicate_draws(n: int, k: int, seed: int, spark) -> DataFrame:
 
 
 def duplicate_rows(df, severity, seed, key=KEY, copy_column: str | None = None):
-    """Appends exactly round(severity · n) rows drawn with replacement.
+    """Appends exactly round(severity · n) rows drawn with replacement, on any frame.
 
-    Only keys are numbered and drawn; the wide rows move once, to meet the drawn keys.
+    Only keys are numbered and drawn; the wide rows move once, to meet the drawn keys. Keys may repeat: rows are then
+    told apart by a digest of their values, and equal rows, which no draw can tell apart, are numbered by their count.
     ``copy_column`` names an optional column that is 0 for originals and tells copies apart.
     """
     numbered = [F.lit(0).cast("bigint").alias(copy_column)] if copy_column else []
     originals = df.select("*", *numbered)
     if severity <= 0:
         return originals
-    index = dense_index(df, key)
+    whole = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}))
+    digested = df.withColumn("_row", whole)
+    distinct = digested.groupBy(key, "_row").agg(F.count(F.lit(1)).alias("_count"))
+    index = dense_index(distinct, key, tie="_row", weight="_count")
     k = round_half_even(severity * index.n)
     if k == 0:
         return originals
-    drawn = duplicate_draws(index.n, k, seed, df.sparkSession).join(index.rows, "_idx").select(key, "_copy_no")
-    copies = df.join(drawn, key).select(
+    places = index.rows.select(key, "_row", F.explode(F.sequence("_idx", F.col("_idx") + F.col("_count") - 1)).alias("_idx"))
+    drawn = duplicate_draws(index.n, k, seed, df.sparkSession).join(places, "_idx").select(
+        F.col(key).alias("_key"), F.col("_row").alias("_drawn"), "_copy_no")
+    one_each = digested.dropDuplicates([key, "_row"])
+    # keys may be NULL
+    copies = one_each.join(drawn, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_row") == F.col("_drawn"))).select(
         *df.columns, *([F.col("_copy_no").alias(copy_column)] if copy_column else []))
     return originals.unionByName(copies)
 
@@ -258,7 +278,7 @@ def apply(df: DataFrame, family: str, severity: float, seed: int, **options) ->
 # ---- many cells in one plan ----
 
 def corrupt_cells(df: DataFrame, features: list[str], key: str = KEY,
-                  levels: dict[str, list[str] | None] | None = None) -> DataFrame:
+                  levels: Levels | None = None) -> DataFrame:
     """Corrupt rows that already carry their cell as columns family, severity, seed, drifted.
 
     ``drifted`` names the columns a schema_drift cell hides. Duplicated rows do not occur
@@ -266,7 +286,7 @@ def corrupt_cells(df: DataFrame, features: list[str], key: str = KEY,
     frame; such a cell without them is an error. ``_flipped`` lists the columns whose value arrives as text.
     """
     numeric, h, severity = set(S.numeric_columns(df)), "_h", "severity"
-    swapped = set(S.categorical_columns(df))
+    swapped = [c for c in S.categorical_columns(df) if c in features]
 
     def cell_value(c: str) -> str:
         cases = {"missing_injection": missing_value(c, h, severity),
@@ -281,13 +301,8 @@ def corrupt_cells(df: DataFrame, features: list[str], key: str = KEY,
             cases["category_taxonomy_drift"] = drifted_category(c, h, severity)
         if c in fv.TAXONOMY_COLS or c in fv.TEXT_COLS:
             cases["mojibake_roundtrip"] = misread_text(c, h, severity)
-        if c in swapped:
-            if levels is None:
-                cases["label_noise_categorical"] = "raise_error('level swaps need the levels of the full frame')"
-            elif levels[c] is None:
-                cases["label_noise_categorical"] = f"raise_error('too many levels for cells: {c}')"
-            else:
-                cases["label_noise_categorical"] = swapped_level(c, h, severity, levels[c])
+        if c in swapped and levels is None:
+            cases[SWAP] = "raise_error('level swaps need the levels of the full frame')"
         whens = " ".join(f"when '{family}' then {value}" for family, value in cases.items())
         return f"case family {whens} else `{c}` end as `{c}`"
 
@@ -295,4 +310,7 @@ def corrupt_cells(df: DataFrame, features: list[str], key: str = KEY,
     flips = ", ".join(f"if({is_flipped(c, h, severity)}, '{c}', null)" for c in features if c in numeric)
     flipped = f"if(family = 'type_flip', array_compact(array({flips})), cast(array() as array<string>)) as _flipped"
     hashed = df.select("*", row_hash(F.col("seed"), F.col(key)).alias("_h"))
-    return hashed.selectExpr(*[cell_value(c) if c in todo else f"`{c}`" for c in df.columns], flipped)
+    changed = hashed.selectExpr(*[cell_value(c) if c in todo else f"`{c}`" for c in df.columns], flipped, h)
+    if levels is not None:
+        changed = swap_levels(changed, swapped, levels, severity, h, f"family = '{SWAP}'")
+    return changed.drop(h)

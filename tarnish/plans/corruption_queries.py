@@ -25,13 +25,21 @@ def c2(spark, sf):
         *[f"schema_of_variant({c}) = 'STRING' as {c}_is_text" for c in numeric])
 
 
-def c3_join(spark, sf):
+def c3_many(spark, sf):
+    """Level swaps alone, against a table of levels indexed beforehand, as a sweep gives them."""
     of = silver(spark, sf)
     columns = S.categorical_columns(of)
-    return C.apply(of, "label_noise_categorical", SEVERITY, SEED, levels={c: None for c in columns}).select(
+    return C.apply(of, "label_noise_categorical", SEVERITY, SEED, levels=C.indexed_levels(of, columns)).select(
         "order_id", *columns)
 
 
+def c4_twice(spark, sf):
+    """Copies of copies: the second pass meets repeated keys, and still adds the exact number."""
+    once = C.apply(silver(spark, sf), "duplicate_rows", 0.5, SEED)
+    twice = C.apply(once, "duplicate_rows", 0.5, SEED + 1)
+    return twice.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("split").alias("n_splits"))
+
+
 def c4(spark, sf):
     return C.apply(silver(spark, sf), "duplicate_rows", SEVERITY, SEED, copy_column="copy_no").select(
         "order_id", "copy_no", "split", *fv.T2_FEATURE_COLS)
@@ -68,8 +76,9 @@ QUERIES = {
     "c1_missing_injection": family("missing_injection"),
     "c2_type_flip": c2,
     "c3_label_noise_categorical": family("label_noise_categorical"),
-    "c3_label_noise_many_levels": c3_join,
+    "c3_label_noise_many_levels": c3_many,
     "c4_duplicate_rows": c4,
+    "c4_duplicate_rows_twice": c4_twice,
     "c5_schema_drift": lambda s, d: C.apply(silver(s, d), "schema_drift", SEVERITY, SEED),
     "c6_currency_unit_drift": family("currency_unit_drift"),
     "c7_timezone_collapse": family("timezone_collapse"),

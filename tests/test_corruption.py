@@ -1,5 +1,6 @@
 """Properties of the corruption families, on the whole feature table."""
 
+import hashlib
 import math
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from tarnish import fixed_values as fv
+from tarnish.functions import keyed_hash as K
 from tarnish.functions import scalars as S
 from tarnish.operators import corruption as C
 
@@ -117,17 +119,48 @@ def test_label_noise_changes_hit_values_and_fills_nulls(features):
     assert joined.filter("b = dominant_category").count() == 0
 
 
-def test_label_noise_by_join_equals_literal_rule(features):
-    """Both forms hit the same rows and draw only existing other levels."""
-    literal = C.apply(features, "label_noise_categorical", 0.3, 3)
-    joined = C.apply(features, "label_noise_categorical", 0.3, 3, levels={c: None for c in fv.CATEGORICAL_COLS})
-    changed = lambda df: {r[0] for r in df.select("order_id", F.col("customer_state").alias("b")).join(
-        features.select("order_id", "customer_state"), "order_id").filter("b <> customer_state").select(
-        "order_id").collect()}
-    assert changed(literal) == changed(joined)
-    known = {r[0] for r in features.select("customer_state").distinct().collect()}
-    assert {r[0] for r in joined.select("customer_state").distinct().collect()} <= known
-    assert joined.count() == features.count()
+@pytest.mark.parametrize("n_levels", [2, 10, 5000])
+def test_label_noise_equals_brute_force_whatever_the_number_of_levels(spark, n_levels):
+    """Read from the frame, given as a table, given as lists: one rule."""
+    name = lambda i: f"é{i % n_levels}" if i % 3 else f"'{i % n_levels}\\"
+    data = [(i, None if i % 11 == 0 else name(i)) for i in range(3 * n_levels + 40)]
+    df = spark.createDataFrame(data, "order_id bigint, customer_state string").repartition(5)
+    levels = sorted({v for _, v in data if v is not None})
+    p, family, column = K.PRIME, "label_noise_categorical", "customer_state"
+    mix = lambda h, salt: (h * K.affine_constants(family, column, salt)[0] + K.affine_constants(family, column, salt)[1]) % p
+
+    def expected(key, value):
+        h = int(hashlib.md5(f"7|{key}".encode()).hexdigest()[:8], 16) % p
+        if mix(h, "hit") / p >= 0.4:
+            return value
+        at = mix(h, "pick") % len(levels)
+        return levels[(at + 1) % len(levels)] if levels[at] == value else levels[at]
+
+    want = [(k, expected(k, v)) for k, v in data]
+    for given in (None, C.indexed_levels(df, [column]), {column: levels}):
+        assert rows(C.apply(df, family, 0.4, 7, levels=given), "order_id") == want
+
+
+def test_label_noise_with_a_list_of_keys(spark):
+    df = spark.createDataFrame([(i % 4, i, "abc"[i % 3]) for i in range(60)], "k bigint, order_id bigint, customer_state string")
+    out = C.apply(df, "label_noise_categorical", 1.0, 7, key=["k", "order_id"])
+    assert out.count() == 60 and all(a[2] != b[2] for a, b in zip(rows(df, "order_id"), rows(out, "order_id")))
+
+
+def test_duplicate_rows_of_repeated_and_missing_keys(spark, features):
+    n = features.count()
+    twice = C.apply(C.apply(features, "duplicate_rows", 0.5, 1), "duplicate_rows", 0.5, 2)
+    once = n + round(0.5 * n)
+    assert twice.count() == once + round(0.5 * once)
+    assert twice.join(features, "order_id", "left_anti").count() == 0
+    # one key, equal rows and rows that differ, rows without a key
+    odd = spark.createDataFrame([(1, "a")] * 30 + [(1, str(i)) for i in range(30)] + [(None, None)] * 20 + [(2, None)] * 20,
+                                "order_id bigint, t string")
+    out = C.apply(odd, "duplicate_rows", 1.0, 3, copy_column="copy")
+    assert out.count() == 200 and out.where("copy > 0").select("copy").distinct().count() == 100
+    assert out.drop("copy").distinct().count() == odd.distinct().count()
+    share = out.where("copy > 0 and order_id = 1 and t = 'a'").count()
+    assert 10 <= share <= 50
 
 
 def test_label_noise_leaves_a_single_level_alone(spark):
