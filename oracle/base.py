@@ -36,12 +36,12 @@ CTES = {
         FROM lineitem""",
     "c_reviews": """
         SELECT d.doc_id AS review_id, d.doc_id AS order_id,
-               CAST(CASE WHEN quality = 1 AND toxic = 0 THEN 5 WHEN quality = 1 THEN 3
+               CAST(CASE WHEN quality IS NULL AND toxic IS NULL THEN NULL WHEN quality = 1 AND toxic = 0 THEN 5 WHEN quality = 1 THEN 3
                          WHEN toxic = 0 THEN 2 ELSE 1 END AS BIGINT) AS review_score,
-               substring(d.text, 1, 40) AS review_comment_title, d.text AS review_comment_message,
+               split_part(d.text, chr(10), 1) AS review_comment_title, d.text AS review_comment_message,
                TIMESTAMP '2001-09-01' + to_days(CAST(n_chars % 365 AS INTEGER)) AS review_creation_date,
                TIMESTAMP '2001-09-01' + to_days(CAST(3 + n_chars % 365 AS INTEGER)) AS review_answer_timestamp
-        FROM documents d JOIN labels USING (doc_id)""",
+        FROM documents d LEFT JOIN labels USING (doc_id)""",
     "c_customers": """
         SELECT c_custkey AS customer_id, c_name AS customer_unique_id, c_custkey % 100000 AS customer_zip_code_prefix,
                c_mktsegment AS customer_city, n_name AS customer_state

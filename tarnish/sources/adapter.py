@@ -75,13 +75,14 @@ def order_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document is a review; one without labels has no score. The title is the whole first line."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
-    return docs.join(read_table(spark, sf_dir, "labels"), "doc_id").select(
+    return docs.join(read_table(spark, sf_dir, "labels"), "doc_id", "left").select(
         F.col("doc_id").alias("review_id"),
         F.col("doc_id").alias("order_id"),
-        F.expr("cast(case when quality = 1 and toxic = 0 then 5 when quality = 1 then 3 "
+        F.expr("cast(case when quality is null and toxic is null then null when quality = 1 and toxic = 0 then 5 when quality = 1 then 3 "
                "when toxic = 0 then 2 else 1 end as bigint)").alias("review_score"),
-        F.substring("text", 1, 40).alias("review_comment_title"),
+        F.substring_index("text", "\n", 1).alias("review_comment_title"),
         F.col("text").alias("review_comment_message"),
         F.expr("timestampadd(DAY, n_chars % 365, TIMESTAMP_NTZ'2001-09-01 00:00:00')").alias("review_creation_date"),
         F.expr("timestampadd(DAY, 3 + n_chars % 365, TIMESTAMP_NTZ'2001-09-01 00:00:00')").alias(
