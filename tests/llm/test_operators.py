@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("tarnish.llm.queries")
 
@@ -231,6 +232,55 @@ def test_quality_outliers_are_found(spark):
     assert all(got[i][0] for i in range(80)) and not any(got[100 + i][0] for i in range(15))
 
 
+def plain_distances(x, rng):
+    """Regularised minimum covariance determinant in plain numpy: exact nearest halves, random starts, steps until nothing changes."""
+    n, p = x.shape
+    h = min(n, (n + p + 1) // 2)
+    y = 1.0
+    while 1 - np.exp(-y) * (1 + y) < h / n - 1e-12 and y < 30:
+        y += 1e-4
+    factor = 1.0 if h == n else h / n / (1 - np.exp(-y) * (1 + y + y * y / 2))
+    floor = np.diag(np.square(op10_quality_rules.FLOOR))
+    found = None
+    for _ in range(40):
+        near = rng.choice(n, min(n, p + 1), replace=False)
+        for _ in range(100):
+            mean, cov = x[near].mean(0), factor * np.cov(x[near].T, bias=True) + floor
+            d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            last, near = near, np.sort(np.argsort(d2, kind="stable")[:h])
+            if np.array_equal(last, near):
+                break
+        if found is None or np.linalg.det(cov) < found[0]:
+            found = np.linalg.det(cov), np.sqrt(d2)
+    return found[1]
+
+
+@pytest.mark.parametrize("kind", ["symbols", "copies"])
+def test_quality_outliers_of_hot_and_tiny_groups(spark, kind):
+    importable(spark)
+    rng = random.Random(16)
+    bad = lambda: " | ".join(prose(rng, 60).split(" "))
+    page = bad()
+    rows = []
+    for lang, share in (("a", 0.3), ("b", 0.4), ("c", 0.45)):
+        junk = round(300 * share)
+        rows += [(prose(rng, 100), lang, "hot", True) for _ in range(300 - junk)]
+        rows += [(page if kind == "copies" else bad(), lang, "hot", False) for _ in range(junk)]
+        rows += [(bad(), lang, "alone", False), (bad(), lang, None, False), (prose(rng, 80), lang, "one", True)]
+        rows += [(bad(), lang, "three", False)] * 2 + [(prose(rng, 70), lang, "three", True)]
+    docs = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(rows)], "doc_id bigint, text string, lang string, source string")
+    got = by_id(op10_quality_rules.judged(docs.repartition(5)), "kept", "distance")
+    assert [got[i][0] for i in range(len(rows))] == [r[3] for r in rows]
+    x = {r["doc_id"]: [r[c] / op10_quality_rules.UNIT for c in op10_quality_rules.NAMES]
+         for r in op10_quality_rules.vectors(op10_quality_rules.text_statistics(docs, "doc_id")).collect()}
+    for lang in "abc":
+        hot = [i for i, r in enumerate(rows) if r[1] == lang and r[2] == "hot"]
+        plain = plain_distances(np.array([x[i] for i in hot]), np.random.default_rng(1))
+        assert [bool(d <= op10_quality_rules.CUTOFF) for d in plain] == [got[i][0] for i in hot]
+        assert np.allclose([got[i][1] for i in hot], plain, rtol=0.15, atol=0.3)
+    assert abs(spark.range(1).select(op10_quality_rules.consistency(F.lit(0.5))).first()[0] - 2.1096) < 1e-3
+
+
 def test_classifier_held_out(spark):
     importable(spark)
     rng = random.Random(8)
