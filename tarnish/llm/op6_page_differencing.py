@@ -2,18 +2,21 @@
 
 A page becomes lines, one for each block, with a note whether the block stands in an article or main element. Blocks in menus, headers,
 footers, sidebars, forms, scripts, styles, templates, and in elements whose class, id or role names adverts, notices,
-comments or the like are left out. Pages are sorted by host and URL path; each is aligned with its neighbours of the same
-host by the longest common subsequence of lines, and lines that both share are boilerplate and are deleted, unless they stand in
-an article or main element: an article's sentence may well be quoted by the next page, and a site's frame doesn't stand there.
+comments or the like are left out. Pages are sorted by host and URL path; each is aligned with the nearest pages of other content of the same
+host, before and after it, by the longest common subsequence of lines, and lines that both share are boilerplate and are deleted, unless they
+stand in an article or main element: an article's sentence may well be quoted by the next page, and a site's frame doesn't stand there.
+Copies and near copies tell nothing about a frame: successive pages that share ``COPY`` or more of the characters of the larger one are a run,
+and neighbours are the last page of the run before and the first of the run after. Each deleted line stands in two pages of different content.
 
 Differencing alone doesn't give the main text where the frame of a page differs from page to page (a menu and an
-advert of its own on each), hence the structural part.
+advert of its own on each), hence the structural part. Where the pages of a host hold hardly more than one and the same frame, they
+are copies of each other by that measure, and the frame stays.
 
-Scale: one range shuffle of whole pages by (host, path, page_id), which splits any host; each task keeps two pages at a time. Ranges
-are cut by Spark, so the first and the last page of a range have one neighbour.
+Scale: pages are parsed where they are read and stored as lines. What is sorted by host is one 8-byte mark per line (hash and length);
+neighbours come from windows over these, so results don't depend on partitions. Only pages that lose lines are joined back.
 
-Defined results: null or empty html gives an empty text; a null URL has no host and is not aligned; equal pages are aligned with each other
-like any; repeated rows are each extracted; very long pages are aligned by hashes of lines in memory linear in the lines.
+Defined results: a null or empty html gives an empty text; a null URL has no host and is not aligned; pages without lines are no neighbours;
+repeated rows are each extracted; very long pages are aligned by marks of lines in memory linear in the lines.
 """
 
 from __future__ import annotations
@@ -23,10 +26,12 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tarnish.llm.common import own, table
+from tarnish.session import materialize
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|iframe|select|object)\b.*?(?:</\1\s*>|\Z)"
@@ -38,6 +43,8 @@ _BAD_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|sidebar|aside|footer|header|masthead|cookies?"
     r"|consent|notices?|popup|modal|newsletter|subscribe|comments?|disqus|replies|respond|share|social|related|widget|search"
     r"|login|signup|toolbar|pagination|pager|navigation|contentinfo|complementary|dialog|alert|gdpr|paywall)(?:$|[\s_-])", re.I)
+#: Part of the characters of the larger of two pages that makes them copies, and the bits of a mark that hold the length of its line.
+COPY, LENGTH_BITS = 0.8, 20
 #: Elements that are left out with all they hold; those that begin and end a block; those that have no end.
 LEFT_OUT = frozenset("head title nav header footer aside form button menu dialog option label fieldset".split())
 BLOCKS = frozenset(
@@ -114,7 +121,7 @@ def lines_of(page: str) -> tuple[list[str], list[bool]]:
     return lines, main
 
 
-def shared(a: list[str], b: list[str]) -> tuple[set[int], set[int]]:
+def shared(a: list, b: list) -> tuple[set[int], set[int]]:
     """The lines of a and of b in a longest common subsequence, in O((n + m) · differences) time and linear space:
     equal ends are taken off, lines unknown to the other are dropped, and what is left is aligned by patience."""
     left_a, left_b = list(range(len(a))), list(range(len(b)))
@@ -148,33 +155,50 @@ def shared(a: list[str], b: list[str]) -> tuple[set[int], set[int]]:
     return of_a, of_b
 
 
-def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages in order of host and path in; page_id, url, text and n_chars out. One page is held back for its follower."""
-    def finish(page):
-        text = "\n".join(x for k, (x, m) in enumerate(zip(page["lines"], page["main"])) if m or k not in page["shared"])
-        return page["page_id"], page["url"], text, len(text)
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns of each page with its html replaced by its lines and whether each stands in an article or main element."""
+    for batch in batches:
+        pages = [lines_of(x.as_py() or "") for x in batch.column("html")]
+        yield pa.RecordBatch.from_arrays(
+            [*[batch.column(c) for c in ("page_id", "url", "host", "path")],
+             pa.array([x for x, _ in pages], pa.list_(pa.string())), pa.array([m for _, m in pages], pa.list_(pa.bool_()))],
+            names=["page_id", "url", "host", "path", "lines", "main"])
 
-    def emit(rows):
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string(), pa.int64()))],
-            names=["page_id", "url", "text", "n_chars"])
 
-    before = None
+def _gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whether each line of a page is shared with a neighbour, for pages with such lines."""
     for batch in batches:
-        rows = []
-        for page_id, url, host, page in zip(*(batch.column(c) for c in ("page_id", "url", "host", "html"))):
-            lines, main = lines_of(page.as_py() or "")
-            now = {"page_id": page_id.as_py(), "url": url.as_py(), "host": host.as_py(), "lines": lines, "main": main, "shared": set()}
-            if before is not None:
-                if now["host"] and now["host"] == before["host"] and not (all(main) and all(before["main"])):
-                    of_before, of_now = shared(before["lines"], lines)
-                    before["shared"] |= of_before
-                    now["shared"] |= of_now
-                rows.append(finish(before))
-            before = now
-        yield emit(rows)
-    if before is not None:
-        yield emit([finish(before)])
+        rows, flags = [], []
+        for row, marks, before, after in zip(*(batch.column(c).to_pylist() for c in ("_row", "marks", "before", "after"))):
+            found = set().union(*(shared(marks, other)[0] for other in (before, after) if other))
+            if found:
+                rows.append(row)
+                flags.append([k in found for k in range(len(marks))])
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(flags, pa.list_(pa.bool_()))], names=["_row", "gone"])
+
+
+def copies(a: Column, b: Column) -> Column:
+    """Whether two pages, as marks of their lines, are copies or near copies; null if one is."""
+    chars = lambda marks: F.aggregate(
+        marks, F.lit(0).cast("bigint"), lambda n, x: n + x.bitwiseAND(F.lit((1 << LENGTH_BITS) - 1).cast("bigint")))
+    return chars(F.array_intersect(a, b)) >= COPY * F.greatest(chars(F.array_distinct(a)), chars(F.array_distinct(b)))
+
+
+def neighbours(marked: DataFrame) -> DataFrame:
+    """_row, marks and the marks of the nearest pages of other content before and after, of pages of a host that have lines."""
+    order = ["path", "page_id", "marks", "url", "_row"]
+    up = Window.partitionBy("host").orderBy(*order)
+    down = Window.partitionBy("host").orderBy(*[F.col(c).desc() for c in order])
+    # a page that opens a run has its neighbour beside it; the others of the run take it over
+    pairs = marked.withColumn("_last", F.lag("marks").over(up)).withColumn(
+        "_opens", ~F.coalesce(copies(F.col("marks"), F.col("_last")), F.lit(False)))
+    before = pairs.withColumn("before", F.last(F.when(F.col("_opens"), F.col("_last")), True).over(
+        up.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    after = before.withColumn("_next", F.when(F.lag("_opens").over(down), F.lag("marks").over(down))).withColumn(
+        "after", F.last("_next", True).over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    other = lambda c: F.when(~copies(F.col("marks"), F.col(c)), F.col(c)).alias(c)
+    return after.where("free").select("_row", "marks", other("before"), other("after")).where(
+        F.col("before").isNotNull() | F.col("after").isNotNull())
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -184,8 +208,18 @@ def extracted(pages: DataFrame) -> DataFrame:
     path = F.regexp_extract(url, r"^(?://[^/?#]*)?([^?#]*)", 1)
     rows = own(pages, "page_id", "url", "html").select(
         F.col("page_id").cast("bigint"), F.col("url"), "html", host.alias("host"), path.alias("path"))
-    return rows.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id").mapInArrow(
-        _aligned, "page_id bigint, url string, text string, n_chars bigint")
+    parsed = materialize(rows.mapInArrow(
+        _parsed, "page_id bigint, url string, host string, path string, lines array<string>, main array<boolean>",
+    ).withColumn("_row", F.monotonically_increasing_id()), "page_lines")
+    most = (1 << LENGTH_BITS) - 1
+    mark = f"xxhash64(x) & {~most}L | cast(least(length(x), {most}) as bigint)"
+    marked = parsed.where("host <> '' and size(lines) > 0").select(
+        "_row", "host", "path", "page_id", "url", F.expr(f"transform(lines, x -> {mark})").alias("marks"),
+        F.expr("exists(main, m -> not m)").alias("free"))
+    gone = neighbours(marked).mapInArrow(_gone, "_row bigint, gone array<boolean>")
+    text = F.expr("array_join(if(gone is null, lines, filter(lines, (x, i) -> main[i] or not gone[i])), '\n')")
+    return parsed.join(gone, "_row", "left").select("page_id", "url", text.alias("text")).withColumn(
+        "n_chars", F.length("text").cast("bigint"))
 
 
 def op6_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -208,6 +208,24 @@ def test_page_text(spark):
     assert {got[1][0].split("\n")[0], got[2][0].split("\n")[0]} == {"Own & text one", "Other"}
 
 
+def test_page_copies_keep_their_text_wherever_they_are_cut(spark):
+    importable(spark)
+    page = lambda *own: "<div>Menu of the host</div>" + "".join(f"<p>{x}</p>" for x in own) + "<div>All rights</div>"
+    rng = random.Random(4)
+    text = {c: [prose(rng, 12) for _ in range(8)] for c in "abc"}
+    near = [*text["b"][:7], "changed"]
+    rows = [(1, "http://h.x/a", page(*text["a"])), (2, "https://h.x/a", page(*text["a"])), (2, "https://h.x/a", page(*text["a"])),
+            (3, "http://h.x/b?p=1", page(*text["b"])), (4, "http://h.x/b?p=2", page(*near)), (5, "http://h.x/c", page(*text["c"])),
+            (6, "http://two.x/1", page(*text["a"])), (7, "http://two.x/2", page(*text["c"])),
+            (8, "http://mirror.x/p", page(*text["a"])), (9, "https://mirror.x/p", page(*text["a"])), (10, "http://h.x/bb", "")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    plain = {**dict.fromkeys((1, 2, 6), text["a"]), 3: text["b"], 4: near, 5: text["c"], 7: text["c"], 10: [],
+             **dict.fromkeys((8, 9), ["Menu of the host", *text["a"], "All rights"])}
+    for cuts in (1, 3, 11):
+        got = op6_page_differencing.extracted(df.repartition(cuts)).collect()
+        assert sorted((r["page_id"], r["text"]) for r in got) == sorted((i, "\n".join(plain[i])) for i, _, _ in rows)
+
+
 def test_quality_rules_against_plain_python(docs):
     out = op10_quality_rules.judged(docs)
     assert out.count() == docs.count()
