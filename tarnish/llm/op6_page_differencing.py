@@ -39,10 +39,15 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _BLANK = re.compile(r"\s+")
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
-_BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|sidebar|aside|footer|header|masthead|cookies?"
-    r"|consent|notices?|popup|modal|newsletter|subscribe|comments?|disqus|replies|respond|share|social|related|widget|search"
-    r"|login|signup|toolbar|pagination|pager|navigation|contentinfo|complementary|dialog|alert|gdpr|paywall)(?:$|[\s_-])", re.I)
+#: Names of advert and comment blocks, of the other parts of a frame, and words that may stand beside these in a name of several parts.
+_CLEAR = r"ads?|advert\w*|sponsor\w*|promo\w*|comments?|disqus|replies|respond"
+_FRAME = (r"banner|nav\w*|menu|breadcrumbs?|sidebar|aside|footer|header|masthead|cookies?|consent|notices?|popup|modal|newsletter|subscribe"
+          r"|share|social|related|widget|search|login|signup|toolbar|pagination|pager|navigation|contentinfo|complementary|dialog|alert"
+          r"|gdpr|paywall")
+_BESIDE = (r"site|page|global|main|primary|secondary|top|bottom|left|right|fixed|sticky|inner|outer|wrapper|wrap|container|box|block|bar|area"
+           r"|list|links?|items?|buttons?|icons?|media|slot|unit|form|\d+")
+_CLEAR_NAME = re.compile(rf"(?:(?:{_BESIDE})[_-]+)*(?:{_CLEAR})(?:[_-]+(?:{_CLEAR}|{_FRAME}|{_BESIDE}))*", re.I)
+_FRAME_NAME = re.compile(rf"(?:(?:{_BESIDE})[_-]+)*(?:{_FRAME})(?:[_-]+(?:{_CLEAR}|{_FRAME}|{_BESIDE}))*", re.I)
 #: Part of the characters of the larger of two pages that makes them copies, and the bits of a mark that hold the length of its line.
 COPY, LENGTH_BITS = 0.8, 20
 #: Elements that are left out with all they hold; those that begin and end a block; those that have no end.
@@ -56,14 +61,61 @@ MAIN = frozenset(("article", "main"))
 CLOSES_ITSELF = frozenset("p li td th tr dt dd option".split())
 
 
+#: Why an element is left out: it is hidden or never text of the page, its kind, a name of the frame, a name of adverts or comments.
+HIDDEN, KIND, NAME, CLEAR = 1, 2, 3, 4
+
+
+def reason(name: str, attributes: str, inner: bool) -> int:
+    """Why an element is left out, 0 if it isn't; inner: it stands in an article or main element."""
+    if name in MAIN or name in ("html", "body"):
+        return 0
+    if name in ("head", "title"):
+        return HIDDEN
+    # a header or a form of the frame; the header of an article may hold its title
+    found = KIND if name in LEFT_OUT and not (name == "header" and inner) else 0
+    for a in _ATTRIBUTE.finditer(attributes):
+        value = (a.group(2) or "").strip("\"'")
+        kind = a.group(1).lower()
+        if kind == "hidden" and a.group(2) is None or kind == "aria-hidden" and value.lower() == "true":
+            return HIDDEN
+        if kind in ("class", "id", "role") and found in (0, NAME):
+            for word in value.split():
+                if _CLEAR_NAME.fullmatch(word):
+                    found = CLEAR
+                elif not inner and not found and _FRAME_NAME.fullmatch(word):
+                    found = NAME
+    return found
+
+
 def lines_of(page: str) -> tuple[list[str], list[bool]]:
-    """The lines of a page outside what is left out, and whether each stands in an article or main element."""
+    """The lines of a page outside what is left out, and whether each stands in an article or main element.
+
+    Left-out elements that turn out to hold the main text are kept by a second walk: those named as a frame that hold an article or
+    main element; any others, unless hidden, that hold all of these; and on a page without these, named ones with
+    most of its text. Inside an article or main element only names of adverts and comments count.
+    """
+    tokens = list(_TOKEN.finditer(page))
+    lines, main, keep = _walk(page, tokens, frozenset())
+    while keep:  # a kept element may hold others
+        lines, main, more = _walk(page, tokens, keep)
+        if more <= keep:
+            break
+        keep |= more
+    return lines, main
+
+
+def _walk(page: str, tokens: list[re.Match], keep: frozenset[int]) -> tuple[list[str], list[bool], frozenset[int]]:
+    """Lines, whether each stands in an article or main element, and the left-out elements to be kept, by the place of their tags."""
     lines: list[str] = []
     main: list[bool] = []
     held: list[str] = []
-    stack: list[tuple[str, bool]] = []  # open elements and whether each is left out
+    # open elements, why each is left out, where it begins, and the article or main elements and characters before it
+    stack: list[tuple[str, int, int, int, int]] = []
+    ended: list[tuple[int, int, int, int]] = []  # left-out elements: why, where, and the article or main elements and characters in them
     out = 0  # open elements that are left out
     inner = 0  # open article or main elements
+    fixed = 0  # open elements that are left out for what they are, whose text doesn't count
+    mains = chars = 0  # article and main elements and characters so far
 
     def end_block() -> None:
         if held:
@@ -74,16 +126,22 @@ def lines_of(page: str) -> tuple[list[str], list[bool]]:
                 main.append(inner > 0)
 
     def close(upto: int) -> None:
-        nonlocal out, inner
+        nonlocal out, inner, fixed
         while len(stack) > upto:
-            name, bad = stack.pop()
-            out -= bad
+            name, why, where, *before = stack.pop()
+            out -= why > 0
+            fixed -= why in (HIDDEN, KIND)
             inner -= name in MAIN
+            if why:
+                ended.append((why, where, mains - before[0], chars - before[1]))
 
     at = 0
-    for found in _TOKEN.finditer(page):
-        if not out and found.start() > at:
-            held.append(page[at: found.start()])
+    for found in tokens:
+        if found.start() > at and not fixed:
+            text = page[at: found.start()]
+            chars += len(text.strip())
+            if not out:
+                held.append(text)
         at = found.end()
         name = found.group(3)
         if not name:
@@ -101,24 +159,20 @@ def lines_of(page: str) -> tuple[list[str], list[bool]]:
             continue
         if name in CLOSES_ITSELF and stack and stack[-1][0] == name:
             close(len(stack) - 1)
-        attributes = found.group(4) or ""
-        # a header or a form of the frame; the header of an article may hold its title
-        bad = name in LEFT_OUT and not (name == "header" and inner)
-        if not bad and attributes and name not in MAIN and name not in ("html", "body"):
-            for a in _ATTRIBUTE.finditer(attributes):
-                value = (a.group(2) or "").strip("\"'")
-                kind = a.group(1).lower()
-                if kind == "hidden" and a.group(2) is None or kind == "aria-hidden" and value.lower() == "true":
-                    bad = True
-                elif kind in ("class", "id", "role") and _BAD_NAME.search(value):
-                    bad = True
-        stack.append((name, bad))
-        out += bad
+        why = 0 if found.start() in keep else reason(name, found.group(4) or "", inner > 0)
+        stack.append((name, why, found.start(), mains, chars))
+        out += why > 0
+        fixed += why in (HIDDEN, KIND)
         inner += name in MAIN
+        mains += name in MAIN and all(x[1] != HIDDEN for x in stack)
     if not out and at < len(page):
         held.append(page[at:])
+        chars += len(page[at:].strip())
     end_block()
-    return lines, main
+    close(0)
+    return lines, main, keep | frozenset(
+        where for why, where, n, size in ended
+        if n and (why == NAME or why in (KIND, CLEAR) and n == mains) or not mains and why in (NAME, CLEAR) and 2 * size > chars)
 
 
 def shared(a: list, b: list) -> tuple[set[int], set[int]]:
@@ -216,7 +270,8 @@ def extracted(pages: DataFrame) -> DataFrame:
     marked = parsed.where("host <> '' and size(lines) > 0").select(
         "_row", "host", "path", "page_id", "url", F.expr(f"transform(lines, x -> {mark})").alias("marks"),
         F.expr("exists(main, m -> not m)").alias("free"))
-    gone = neighbours(marked).mapInArrow(_gone, "_row bigint, gone array<boolean>")
+    # stored, so that its size is known: few such pages are broadcast and no text is shuffled
+    gone = materialize(neighbours(marked).mapInArrow(_gone, "_row bigint, gone array<boolean>"), "page_gone")
     text = F.expr("array_join(if(gone is null, lines, filter(lines, (x, i) -> main[i] or not gone[i])), '\n')")
     return parsed.join(gone, "_row", "left").select("page_id", "url", text.alias("text")).withColumn(
         "n_chars", F.length("text").cast("bigint"))

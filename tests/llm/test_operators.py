@@ -208,6 +208,25 @@ def test_page_text(spark):
     assert {got[1][0].split("\n")[0], got[2][0].split("\n")[0]} == {"Own & text one", "Other"}
 
 
+def test_page_names_of_wrappers():
+    article = "<article><h1>T</h1>{}<p>One</p></article>"
+    frame = "<div class='menu'>m</div><div id='main-nav'>n</div>{}<div class='site-footer'>f</div><div class='cookie-banner'>k</div>"
+    lines = lambda page: op6_page_differencing.lines_of(frame.format(page))[0]
+    for start in ('div class="layout with-sidebar"', 'div id="page-header-fixed"', 'section class="content no-comments"', "div class=header",
+                  "form id=aspnet", "div class='sidebar'><div class='header'"):
+        ends = "</div></div>" if "><" in start else f"</{start.split()[0]}>"
+        assert lines(f"<{start}>{article.format('')}{ends}") == ["T", "One"], start
+    for name in ("section-header", "related-work", "search-results", "header", "menu", "share"):
+        assert lines(article.format(f"<div class='{name}'><h2>Part</h2><p>Text</p></div>")) == ["T", "Part", "Text", "One"], name
+    for name in ("ad", "ads top", "ad-slot", "comments", "comment-list", "sponsored"):
+        assert lines(article.format(f"<div class='{name}'>x</div>")) == ["T", "One"], name
+    comments = "<div class='comments'><article>first</article><article>second</article></div>"
+    assert lines(article.format("") + comments) == ["T", "One"]
+    assert lines("<div class='related'><p>A text without an article, that is most of the page.</p></div><p>End</p>") == [
+        "A text without an article, that is most of the page.", "End"]
+    assert lines("<div hidden><article>no</article></div><p>Yes</p>") == ["Yes"]
+
+
 def test_page_copies_keep_their_text_wherever_they_are_cut(spark):
     importable(spark)
     page = lambda *own: "<div>Menu of the host</div>" + "".join(f"<p>{x}</p>" for x in own) + "<div>All rights</div>"
