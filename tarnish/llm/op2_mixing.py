@@ -3,14 +3,16 @@
 Each source's documents, in a seeded order, are cut into blocks. Of a period of as many slots as the whole-number weights
 sum to, block j of a source with weight w is released at floor(j · period / w) and due at ceil((j + 1) · period / w); each slot
 goes to the released block with the earliest deadline. So at any slot a source has had less than one block more or fewer than its
-weight asks for. A period repeats as it began, so only one is scheduled, on the driver; the slot of every block follows from its number.
+weight asks for. Weights are whole multiples of 1 / ``PERIOD`` of their sum, so fine that rounding stays far below a block over the whole run.
+A period that is shorter than the run repeats as it began, so only one is scheduled, on the driver; of a longer one only the slots of the run.
 When a source is used up, a new phase begins with the rest of the sources in the same proportions: no document is dropped.
 
 Places within a source come from counts of hash buckets, about as many as the square root of the rows: prefix sums
 give each bucket its first place, and rows are numbered within buckets, so a source with a third of all rows is spread.
 
 Defined results: a null source is a source of its own; rows that repeat an id are numbered one after the other, in any order; null
-ids count as rows; an empty table gives no rows. What the driver holds is bounded by sources × ``PERIOD``.
+ids count as rows; an empty table gives no rows. The driver holds a number for each block at most; past ``BROADCAST`` of them they are joined
+by source and block instead of being broadcast.
 """
 
 from __future__ import annotations
@@ -24,14 +26,14 @@ from pyspark.sql.window import Window
 
 from tarnish.llm.common import own, table
 
-#: Documents of a block, and about how many slots a period has.
-BLOCK, PERIOD = 16, 1000
+#: Documents of a block, about how many slots an unreduced period has, and how many slots are broadcast.
+BLOCK, PERIOD, BROADCAST = 16, 10**12, 1_000_000
 #: Target weights of the query: the share of each source's rows, flattened by this power.
 FLATTEN = 0.5
 
 
-def period_slots(weights: dict[str, int]) -> dict[str, list[int]]:
-    """The slots of one period that earliest-deadline-first gives to each source."""
+def period_slots(weights: dict[str, int], blocks: dict[str, int] | None = None) -> dict[str, list[int]]:
+    """The slots of one period that earliest-deadline-first gives to each source; with blocks, until a source has had all of its."""
     period = sum(weights.values())
     waiting = [(0, s, 0) for s in sorted(weights)]  # release, source, block
     heapq.heapify(waiting)
@@ -43,6 +45,8 @@ def period_slots(weights: dict[str, int]) -> dict[str, list[int]]:
             heapq.heappush(ready, (-(-(j + 1) * period // weights[s]), -weights[s], s, j))
         _, _, s, j = heapq.heappop(ready)
         out[s].append(slot)
+        if blocks and len(out[s]) == blocks[s]:
+            break
         if j + 1 < weights[s]:
             heapq.heappush(waiting, ((j + 1) * period // weights[s], s, j + 1))
     return out
@@ -64,8 +68,10 @@ def phases(blocks: dict[str, int], weights: dict[str, float]) -> list[tuple[str,
         active = {s: whole[s] for s in left if s in whole} or dict.fromkeys(left, 1)
         shared = math.gcd(*active.values())
         active = {s: w // shared for s, w in active.items()}
-        period, slots = sum(active.values()), period_slots(active)
-        last = min((left[s] - 1) // w * period + slots[s][(left[s] - 1) % w] for s, w in active.items())
+        period = sum(active.values())
+        slots = period_slots(active, left)
+        last = min((left[s] - 1) // w * period + slots[s][(left[s] - 1) % w] for s, w in active.items()
+                   if (left[s] - 1) % w < len(slots[s]) and (len(slots[s]) == w or left[s] <= len(slots[s])))
         turns, rest = divmod(last + 1, period)
         for s, w in active.items():
             n = turns * w + sum(x < rest for x in slots[s])
@@ -99,17 +105,24 @@ def interleaved(rows: DataFrame, weights: dict[str, float] | None = None, seed:
     plan: dict[str, list[tuple]] = {}
     for s, *phase in phases({s: -(-n // block) for s, n in per_source.items()}, target):
         plan.setdefault(s, []).append(tuple(phase))
+    steps, taken = [], []
+    for s, of in sorted(plan.items()):
+        for k, (first, end, start, period, slots) in enumerate(of):
+            steps.append((s, k, first, end, start, period, len(slots)))
+            taken += [(s, k, i, slot) for i, slot in enumerate(slots)]
     plans = spark.createDataFrame(
-        [(s, p) for s, p in sorted(plan.items())],
-        "_source string, _plan array<struct<first: bigint, end: bigint, start: bigint, period: bigint, slots: array<int>>>")
+        steps, "_source string, _k int, first bigint, end bigint, start bigint, period bigint, size bigint").groupBy("_source").agg(
+        F.collect_list(F.struct("_k", "first", "end", "start", "period", "size")).alias("_plan"))
+    slot_of = spark.createDataFrame(taken, "_source string, _k int, _i bigint, _slot bigint")
     numbered = keyed.withColumn("_bucket", bucket).withColumn("_in_bucket", F.row_number().over(
         Window.partitionBy("_source", "_bucket").orderBy("_hash", "doc_id")))
     placed = numbered.join(offsets, ["_source", "_bucket"]).withColumn("_place", F.expr("_before + _in_bucket - 1")).join(
-        F.broadcast(plans), "_source")  # bounded: a row for each source, PERIOD slots in each phase
+        F.broadcast(plans), "_source")  # bounded: a row for each source, a few numbers for each phase
     placed = placed.withColumn("_b", F.expr(f"_place div {block}")).withColumn(
-        "_phase", F.expr("get(filter(_plan, p -> p.first <= _b and _b < p.end), 0)"))
-    slot = ("_phase.start + (_b - _phase.first) div size(_phase.slots) * _phase.period"
-            " + get(_phase.slots, cast((_b - _phase.first) % size(_phase.slots) as int))")
+        "_phase", F.expr("get(filter(_plan, p -> p.first <= _b and _b < p.end), 0)")).drop("_plan").withColumns(
+        {"_k": F.col("_phase._k"), "_i": F.expr("(_b - _phase.first) % _phase.size")})
+    placed = placed.join(F.broadcast(slot_of) if len(taken) <= BROADCAST else slot_of, ["_source", "_k", "_i"])
+    slot = "_phase.start + (_b - _phase.first) div _phase.size * _phase.period + _slot"
     return placed.select(*names, F.expr(f"({slot}) * {block} + _place % {block}").cast("bigint").alias(column))
 
 

@@ -148,6 +148,21 @@ def test_mixing_keeps_all_rows_within_a_block(spark, docs):
     assert op2_mixing.interleaved(docs.limit(0)).count() == 0
 
 
+def test_mixing_keeps_to_the_given_weights(spark):
+    for blocks, weights in (({"hot": 30_000, **{f"s{k:02}": 3_000 for k in range(19)}}, {"hot": 0.13961, **{f"s{k:02}": 0.86039 / 19 for k in range(19)}}),
+                            ({"a": 40_000, "b": 4}, {"a": 0.9999, "b": 0.0001})):
+        first = [p for p in op2_mixing.phases(blocks, weights) if p[3] == 0]
+        end = min(slots[-1] for s, _, n, _, p, slots in first if n == blocks[s]) if all(p[4] > p[2] for p in first) else 4_000
+        for s, _, n, _, period, slots in first:
+            for had, slot in enumerate(slots[:n]):
+                assert slot > end or abs(had - slot * weights[s] / sum(weights.values())) <= 1 + 1e-6
+    rows = spark.range(6_000).selectExpr("id doc_id", "if(id < 2000, 'hot', concat('s', id % 19)) source")
+    out = op2_mixing.interleaved(rows, {"hot": 0.13961, **{f"s{k}": 0.86039 / 19 for k in range(19)}}).collect()
+    assert len({r["mix_position"] for r in out}) == 6_000
+    for upto in range(16, 3_000, 16):
+        assert abs(sum(r["source"] == "hot" and r["mix_position"] < upto for r in out) - 0.13961 * upto) <= 16 + 1e-6
+
+
 def test_near_duplicates_against_all_pairs(docs, texts):
     bags = []
     for t in texts:
