@@ -16,6 +16,7 @@ from tarnish.llm.op7_bagminhash import op7_bagminhash
 from tarnish.llm.op8_suffix_dedup import op8_suffix_dedup
 from tarnish.llm.op9_substring_dedup import op9_substring_dedup
 from tarnish.llm.op10_quality_rules import op10_quality_rules
+from tarnish.llm.op11_whitening import op11_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_whitening": op11_whitening,
 }
 
 SQL: dict[str, str] = {}
