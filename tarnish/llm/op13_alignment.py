@@ -27,7 +27,7 @@ import os
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -44,6 +44,8 @@ MARK = "▁"
 FREQUENT = 500_000
 #: Segments longer than this are aligned anew each time, and no more than so many others are remembered by a task.
 REMEMBERED_CHARS, REMEMBERED = 48, 400_000
+#: Characters of segments that are aligned together.
+RUN_CHARS = 1 << 17
 #: Groups with more links than this are linked by distinct ids.
 LARGE_GROUP = 64
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -63,18 +65,18 @@ def byte_characters() -> dict[str, int]:
 
 
 class Aligned(NamedTuple):
-    """One segment: its token counts, its groups as text, and its links as pair -> number (pairs repeated in ``links``)."""
+    """One segment: its token counts, its groups as text, and its links."""
 
     n_a: int
     n_b: int
     n_groups: int
     groups: str
-    links: tuple[int, ...]
+    links: bytes  # 64-bit pairs, one for each link
     many: tuple[tuple[int, int], ...]  # (pair, number) of groups with many links
 
 
 class Aligner:
-    """Encodes segments with both tokenizers and groups their ids. ``None`` stands for a segment that isn't reproduced."""
+    """Encodes segments with both tokenizers and groups their ids."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -96,62 +98,116 @@ class Aligner:
                 raise ValueError("a piece of this model spans the border of two segments")
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(MARK, " ").encode())
         self.mark = self.b.piece_to_id(MARK)
-        self.known: dict[str, Aligned | None] = {}
-
-    def ids(self, segments: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Both id lists of segments that begin with a blank; B adds that blank itself."""
-        of_a = self.a.encode_batch(segments, add_special_tokens=False)
+        self.length_a = np.zeros(max(self.bytes_a) + 1, np.int64)
+        self.length_a[list(self.bytes_a)] = [len(x) for x in self.bytes_a.values()]
+        self.length_b = np.array([len(x) for x in self.bytes_b])
+        self.text = [str(i) for i in range(max(len(self.length_a), len(self.length_b)))]
+        self.known: dict[str, Aligned] = {}
+        self.lost: set[str] = set()  # segments that aren't reproduced
+
+    def ids(self, segments: list[str]) -> tuple[list[int], list[int]]:
+        """Both id lists of segments that each begin with a blank; B adds that blank itself."""
+        of_a = self.a.encode_batch_fast(segments, add_special_tokens=False)
         of_b = self.b.encode([s[1:] for s in segments], num_threads=1)
-        for segment, a, b in zip(segments, of_a, of_b):
-            yield a.ids, b if len(segment) > 1 else [self.mark]
-
-    def aligned(self, segment: str, a: list[int], b: list[int]) -> Aligned | None:
-        whole = segment.encode()
-        parts_a, parts_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(parts_a) != whole or b"".join(parts_b) != whole:
+        return (list(chain.from_iterable([e.ids for e in of_a])),
+                list(chain.from_iterable([ids if len(s) > 1 else (self.mark,) for s, ids in zip(segments, of_b)])))
+
+    def aligned(self, segments: list[str]) -> list[Aligned] | None:
+        """Aligns segments; None if one of the tokenizers doesn't reproduce them."""
+        raw = "".join(segments).encode()
+        ids_a, ids_b = self.ids(segments)
+        if any(b"".join([of[i] for i in ids]) != raw for of, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b))):
             return None
-        ends_a = dict(zip(accumulate(map(len, parts_a)), range(1, len(a) + 1)))
-        ends_b = dict(zip(accumulate(map(len, parts_b)), range(1, len(b) + 1)))
-        groups, links, many = [], [], []
-        from_a = from_b = 0
-        for end in sorted(ends_a.keys() & ends_b.keys()):
-            to_a, to_b = ends_a[end], ends_b[end]
-            x, y = a[from_a:to_a], b[from_b:to_b]
-            from_a, from_b = to_a, to_b
-            groups.append(f"{','.join(map(str, x))}|{','.join(map(str, y))}")
-            if len(x) * len(y) <= LARGE_GROUP:
-                links.extend([i << 32 | j for i in x for j in y])
-            else:
-                of_y = Counter(y).items()
-                many.extend((i << 32 | j, m * n) for i, m in Counter(x).items() for j, n in of_y)
-        return Aligned(len(a), len(b), len(groups), ";".join(groups), tuple(links), tuple(many))
+        a, b = np.array(ids_a), np.array(ids_b)
+        # from end to index plus one; offsets are small whole numbers, so the dictionaries are addressed directly
+        at_a, at_b = np.zeros(len(raw) + 1, np.int64), np.zeros(len(raw) + 1, np.int64)
+        at_a[np.cumsum(self.length_a[a])] = np.arange(1, len(a) + 1)
+        at_b[np.cumsum(self.length_b[b])] = np.arange(1, len(b) + 1)
+        common = np.flatnonzero((at_a > 0) & (at_b > 0))
+        to_a, to_b = at_a[common], at_b[common]
+        from_a, from_b = np.r_[0, to_a[:-1]], np.r_[0, to_b[:-1]]
+        text_a, text_b = [self.text[i] for i in ids_a], [self.text[i] for i in ids_b]
+        groups = [
+            f"{text_a[i]}|{text_b[j]}" if p - i == 1 and q - j == 1 else f"{','.join(text_a[i:p])}|{','.join(text_b[j:q])}"
+            for i, p, j, q in zip(from_a.tolist(), to_a.tolist(), from_b.tolist(), to_b.tolist())]
+        size_a, size_b = to_a - from_a, to_b - from_b
+        large = np.flatnonzero(size_a * size_b > LARGE_GROUP)
+        n = np.where(size_a * size_b > LARGE_GROUP, 0, size_a * size_b)
+        before = np.r_[0, np.cumsum(n)]
+        k = np.repeat(np.arange(len(n)), n)
+        place = np.arange(before[-1]) - before[k]
+        links = (a[from_a[k] + place // size_b[k]] << 32 | b[from_b[k] + place % size_b[k]]).tobytes()
+        ends = np.cumsum([len(s.encode()) for s in segments])
+        last = np.searchsorted(common, ends) + 1
+        if (common[last - 1] != ends).any():
+            raise ArithmeticError("a token spans the border of two segments")
+        first = np.r_[0, last[:-1]]
+        many: dict[int, list[tuple[int, int]]] = {}
+        for g in large.tolist():
+            of_b = Counter(ids_b[from_b[g]:to_b[g]]).items()
+            many.setdefault(int(np.searchsorted(last, g, "right")), []).extend(
+                (x << 32 | y, m * c) for x, m in Counter(ids_a[from_a[g]:to_a[g]]).items() for y, c in of_b)
+        return [
+            Aligned(n_a, n_b, j - i, ";".join(groups[i:j]), links[8 * x: 8 * y], tuple(many.get(s, ())) if many else ())
+            for s, (n_a, n_b, i, j, x, y) in enumerate(zip(
+                (to_a[last - 1] - from_a[first]).tolist(), (to_b[last - 1] - from_b[first]).tolist(), first.tolist(),
+                last.tolist(), before[first].tolist(), before[last].tolist()))]
+
+    def learn(self, segments: list[str]) -> None:
+        """Aligns segments and remembers the results."""
+        found = self.aligned(segments)
+        if found is not None:
+            self.known.update(zip(segments, found))
+        elif len(segments) == 1:
+            self.lost.add(segments[0])
+        else:
+            half = len(segments) // 2
+            self.learn(segments[:half])
+            self.learn(segments[half:])
+
+    def runs(self, segments: list[str]) -> Iterator[list[str]]:
+        """Segments in runs of some length."""
+        run, size = [], 0
+        for s in segments:
+            run.append(s)
+            size += len(s)
+            if size > RUN_CHARS:
+                yield run
+                run, size = [], 0
+        if run:
+            yield run
 
     def texts(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, str, np.ndarray, np.ndarray] | None]:
         """n_a, n_b, n_groups, digest of the groups, pairs and their numbers of links, of each text; None without tokens."""
         cut = [_CUT.split(" " + t) if t else None for t in texts]
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        known = self.known
-        fresh = list({s for segments in cut if segments for s in segments if s not in known})
-        here: dict[str, Aligned | None] = {}
-        for segment, (a, b) in zip(fresh, self.ids(fresh)):
-            (known if len(segment) <= REMEMBERED_CHARS else here)[segment] = self.aligned(segment, a, b)
+        known, lost = self.known, self.lost
+        if len(known) + len(lost) >= REMEMBERED:
+            known.clear()
+            lost.clear()
+        fresh = list(set(chain.from_iterable(filter(None, cut))).difference(known, lost))
+        for run in self.runs(fresh):
+            self.learn(run)
         for segments in cut:
-            found = [known[s] if s in known else here[s] for s in segments] if segments else []
-            if not found or None in found:
+            if not segments or (lost and not lost.isdisjoint(segments)):
                 yield None
                 continue
-            n_a, n_b, n_groups, groups, links, many = zip(*found)
-            pairs = np.fromiter(chain.from_iterable(links), np.int64)
-            numbers = np.ones(len(pairs), np.int64)
-            if more := [x for part in many for x in part]:
-                pairs = np.concatenate([pairs, np.array([p for p, _ in more], np.int64)])
-                numbers = np.concatenate([numbers, np.array([n for _, n in more], np.int64)])
-            order = np.argsort(pairs, kind="stable")
-            pairs, numbers = pairs[order], numbers[order]
+            n_a, n_b, n_groups, groups, links, many = zip(*map(known.__getitem__, segments))
+            pairs = np.frombuffer(b"".join(links), np.int64)
+            if more := list(chain.from_iterable(many)):
+                extra = np.array(more, np.int64)
+                numbers = np.concatenate([np.ones(len(pairs), np.int64), extra[:, 1]])
+                pairs = np.concatenate([pairs, extra[:, 0]])
+                order = np.argsort(pairs, kind="stable")
+                pairs, numbers = pairs[order], numbers[order]
+            else:
+                pairs, numbers = np.sort(pairs), None
             first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
-            digest = hashlib.sha256(";".join(groups).encode()).hexdigest()
-            yield sum(n_a), sum(n_b), sum(n_groups), digest, pairs[first], np.add.reduceat(numbers, first)
+            counts = np.diff(np.r_[first, len(pairs)]) if numbers is None else np.add.reduceat(numbers, first)
+            yield (sum(n_a), sum(n_b), sum(n_groups), hashlib.sha256(";".join(groups).encode()).hexdigest(), pairs[first], counts)
+        for segment in fresh:
+            if len(segment) > REMEMBERED_CHARS:
+                known.pop(segment, None)
+                lost.discard(segment)
 
 
 _LOADED: dict[tuple[str, str], Aligner] = {}

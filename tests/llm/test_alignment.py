@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 pytest.importorskip("tarnish.llm.queries")
@@ -79,17 +80,20 @@ def test_alignment_against_loops(spark, case, frequent):
         assert got[i if i != 20 else None] == w, found[i]
 
 
-def test_large_groups_are_counted_by_distinct_ids(case):
+def test_large_groups_are_counted_by_distinct_ids(monkeypatch):
     al = op.Aligner(*op.paths())
-    a, b = [1] * 30 + [2], [3] * 20 + [4]
-    al.bytes_a, al.bytes_b = {1: b"ab", 2: b"c"}, {3: b"abc", 4: b"c"}
-    assert al.aligned("ab" * 30 + "c", a, b) is None  # bytes differ
-    al.bytes_a, al.bytes_b = {1: b"aa", 2: b"b"}, {3: b"aaa", 4: b"b"}
-    got = al.aligned("a" * 60 + "b", a, b)
-    assert got.n_groups == 11 and len(got.links) == 61 and not got.many
-    al.bytes_a, al.bytes_b = {1: b"a" * 31, 2: b"b"}, {3: b"a" * 29, 4: b"b"}
-    got = al.aligned("a" * 899 + "b", [1] * 29 + [2], [3] * 31 + [4])
-    assert got.n_groups == 2 and got.links == (2 << 32 | 4,) and got.many == ((1 << 32 | 3, 899),)
+
+    def align(text, a, b, bytes_a, bytes_b):
+        al.bytes_a, al.bytes_b = dict(enumerate(bytes_a)), bytes_b
+        al.length_a, al.length_b = (np.array([len(x) for x in z]) for z in (bytes_a, bytes_b))
+        monkeypatch.setattr(al, "ids", lambda _: (a, b))
+        return al.aligned([text])
+
+    assert align("ab" * 30 + "c", [0] * 30 + [1], [0] * 20 + [1], [b"ab", b"c"], [b"abc", b"c"]) is None  # bytes differ
+    got, = align("a" * 60 + "b", [0] * 30 + [1], [0] * 20 + [1], [b"aa", b"b"], [b"aaa", b"b"])
+    assert got.n_groups == 11 and len(got.links) == 8 * 61 and not got.many
+    got, = align("a" * 899 + "b", [0] * 29 + [1], [0] * 31 + [1], [b"a" * 31, b"b"], [b"a" * 29, b"b"])
+    assert got.n_groups == 2 and got.links == (1 << 32 | 1).to_bytes(8, "little") and got.many == ((0, 899),)
 
 
 def test_empty_table_and_repeated_rows(spark):
