@@ -17,6 +17,7 @@ from tarnish.llm.op8_suffix_dedup import op8_suffix_dedup
 from tarnish.llm.op9_substring_dedup import op9_substring_dedup
 from tarnish.llm.op10_quality_rules import op10_quality_rules
 from tarnish.llm.op11_whitening import op11_whitening
+from tarnish.llm.op12_imatch import op12_imatch
 from tarnish.llm.op13_alignment import op13_alignment
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
     "op11_whitening": op11_whitening,
+    "op12_imatch": op12_imatch,
     "op13_alignment": op13_alignment,
 }
 
