@@ -113,6 +113,14 @@ SQL = {
     "g2_parse_answers": f"SELECT event_id, prediction, confidence, rationale, ok, error FROM ({PARSED})",
     "g3_batch_scoring": sql("SELECT order_id, prediction, confidence, rationale, ok, n_calls, agent_score "
                             "FROM scored_answers", **PROMPTS),
+    "g3_stored_answers": sql("SELECT order_id, prediction, confidence, rationale, ok, n_calls, agent_score "
+                             "FROM scored_answers", **PROMPTS),
+    "a15_stored_answer_costs": sql("""SELECT 'stub' AS scorer, 't2' AS task, attempt,
+        CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(length(raw) // 4) AS BIGINT) AS completion_tokens,
+        CAST(sum(prompt_tokens + length(raw) // 4) AS BIGINT) AS total_tokens,
+        round(sum(prompt_tokens) * 0.15e-6 + sum(length(raw) // 4) * 0.60e-6, 6) AS cost
+        FROM (SELECT DISTINCT prompt, attempt, prompt_tokens, raw FROM records JOIN prompts USING (order_id)) GROUP BY attempt""",
+        **PROMPTS),
     "g4_call_records": sql("""SELECT 't2' AS task, 'a1' AS mode, attempt, ok,
         CASE WHEN NOT ok THEN 'no JSON object' END AS error, prompt_tokens, length(raw) // 4 AS completion_tokens,
         prompt_tokens + length(raw) // 4 AS total_tokens, raw, CASE WHEN ok THEN (n % 2)::INTEGER ELSE -1 END AS prediction,

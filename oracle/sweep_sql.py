@@ -261,6 +261,8 @@ SQL = {
     "c12_many_cells": _many_cells(),
     "e2_j10_paired_sweep": sql(f"""SELECT {KEYS}, severity, n AS n_rows, parse_ok, ratio_status,
         round(abs_ratio_max, 4) AS abs_ratio_max, {RATES} FROM judged""", **SWEEP),
+    "e2_resumed_sweep": sql(f"""SELECT {KEYS}, severity, 1000::BIGINT AS n, 1::BIGINT AS n_runs, parse_ok,
+        round(abs_ratio_max, 4) AS abs_ratio_max, {RATES.split(", round(tpr")[0]} FROM judged""", **SWEEP),
     "e3_gate": sql(f"""SELECT family, severity, seed, n AS n_rows, parse_ok, ratio_status,
         round(abs_ratio_max, 4) AS abs_ratio_max, {RATES} FROM judged""",
                    **evaluated(gate_cells("t2"), ["t2"], 60, "strict")),

@@ -18,6 +18,7 @@ from tarnish.functions import scalars as S
 from tarnish.functions.responses import FAIL_RATIONALE, parse_answer
 from tarnish.operators.reports import union_all
 from tarnish.session import materialize
+from tarnish.sources.stores import AnswerStore
 
 # prompts and attempt number in; (raw answer, prompt tokens, completion tokens) per prompt out
 PromptScorer = Callable[[list[str], int], list[tuple[str, int, int]]]
@@ -39,8 +40,15 @@ def _ask(prompts: DataFrame, scorer: PromptScorer, attempt: int) -> DataFrame:
     return parse_answer(prompts.mapInPandas(run, schema), "raw").withColumn("attempt", F.lit(attempt))
 
 
-def score_prompts(prompts: DataFrame, keys: list[str], scorer: PromptScorer, retries: int = 1) -> DataFrame:
-    """One row per call: keys…, attempt, answer, tokens, ok, error. ``prompts`` has keys… and prompt."""
+def score_prompts(prompts: DataFrame, keys: list[str], scorer: PromptScorer, retries: int = 1,
+                  store: AnswerStore | None = None) -> DataFrame:
+    """One row per call: keys…, attempt, answer, tokens, ok, error. ``prompts`` has keys… and prompt.
+
+    With a store only prompts that it has no answer to are asked, each once however many rows share it, and a row's calls are
+    those that gave it its answers, made now or earlier.
+    """
+    if store is not None:
+        return _stored_answers(prompts, keys, scorer, retries, store)
     waiting, calls = prompts.select(*keys, "prompt"), []
     for attempt in range(retries + 1):
         asked = materialize(_ask(waiting, scorer, attempt), f"calls-{attempt}")
@@ -49,6 +57,20 @@ def score_prompts(prompts: DataFrame, keys: list[str], scorer: PromptScorer, ret
     return union_all(calls)
 
 
+def _stored_answers(prompts: DataFrame, keys: list[str], scorer: PromptScorer, retries: int, store: AnswerStore) -> DataFrame:
+    spark, digest, calls = prompts.sparkSession, "prompt_sha256", []
+    waiting = prompts.select(*keys, F.sha2("prompt", 256).alias(digest), "prompt")
+    for attempt in range(retries + 1):
+        # equal prompts are merged before the shuffle, so a prompt that many rows share is no hot key
+        fresh = waiting.select(digest, "prompt").dropDuplicates([digest]).join(
+            store.answers(spark, attempt).select(digest), digest, "left_anti")
+        store.append(call_records(_ask(fresh, scorer, attempt), store.task, store.mode, digest))
+        known = store.answers(spark, attempt)  # read anew: what was there and what was just stored
+        calls.append(waiting.drop("prompt").join(known, digest).drop(digest))
+        waiting = waiting.join(known.where(~F.col("ok")).select(digest), digest, "left_semi")
+    return union_all(calls)
+
+
 def final_answers(calls: DataFrame, keys: list[str]) -> DataFrame:
     """The accepted answer per prompt, or the failure mark with the last error."""
     accepted = lambda c: F.max(F.when(F.col("ok"), F.col(c)))
@@ -61,23 +83,29 @@ def final_answers(calls: DataFrame, keys: list[str]) -> DataFrame:
     return answers.withColumn("agent_score", S.positive_score(F.col("prediction"), F.col("confidence")))
 
 
-def call_records(calls: DataFrame, task: str, mode: str = "a1") -> DataFrame:
-    """The stored form of calls."""
+def call_records(calls: DataFrame, task: str, mode: str = "a1", *keep: str) -> DataFrame:
+    """The stored form of calls, after the columns to keep."""
     return calls.select(
-        "ts", F.lit(task).alias("task"), F.lit(mode).alias("mode"), F.col("attempt").cast("int").alias("attempt"),
+        *keep, "ts", F.lit(task).alias("task"), F.lit(mode).alias("mode"), F.col("attempt").cast("int").alias("attempt"),
         "ok", "error", "latency_s", "prompt_tokens", "completion_tokens",
         (F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"), "raw",
         F.struct("prediction", "confidence", "rationale").alias("parsed"))
 
 
-def prompt_agent(scorer: PromptScorer, profiles: dict[str, str], keys: list[str]):
-    """A sweep consumer that asks ``scorer`` about the prompt of every row."""
+def prompt_agent(scorer: PromptScorer, profiles: dict[str, str], keys: list[str], answers: str | None = None,
+                 name: str = "scorer"):
+    """A sweep consumer that asks ``scorer`` about the prompt of every row.
+
+    ``answers`` is the path of a store of answers: rows whose prompt the corruption left alone, and repeated sweeps, cost no call.
+    ``name`` stands for the scorer and its settings there.
+    """
     from tarnish.functions.prompts import prompt
 
     def agent(rows: DataFrame, task: str) -> DataFrame:
         stored = materialize(rows, "cell-rows")
         prompts = stored.select(*keys, prompt(stored, task, profiles[task]).alias("prompt"))
-        return stored.join(final_answers(score_prompts(prompts, keys, scorer), keys), keys)
+        store = AnswerStore(answers, name, task) if answers else None
+        return stored.join(final_answers(score_prompts(prompts, keys, scorer, store=store), keys), keys)
 
     return agent
 

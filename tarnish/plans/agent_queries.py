@@ -89,6 +89,30 @@ def g3(spark, sf):
     return C.final_answers(calls(spark, sf), ["order_id"])
 
 
+def stored_answers(spark, sf):
+    """The prompts of the test pool, asked through a store of answers; its calls and the store."""
+    store = stores.AnswerStore(scratch_path(spark, "answers"), "stub", "t2")
+    asked = prompts(spark, sf).select("order_id", "prompt")
+    return C.score_prompts(asked, ["order_id"], C.stub_scorer, store=store), store
+
+
+def g3_stored(spark, sf):
+    """Asked twice; the second time all answers come from the store."""
+    _, store = stored_answers(spark, sf)
+
+    def closed(prompts, attempt):
+        raise RuntimeError("a stored answer was asked for again")
+
+    again = C.score_prompts(prompts(spark, sf).select("order_id", "prompt"), ["order_id"], closed, store=store)
+    return C.final_answers(again, ["order_id"])
+
+
+def a15_stored(spark, sf):
+    """What the stored answers cost: each prompt and attempt once, however many rows share the prompt."""
+    _, store = stored_answers(spark, sf)
+    return R.token_costs(store.calls(spark), ["scorer", "task", "attempt"])
+
+
 def g4(spark, sf):
     r = C.call_records(calls(spark, sf), "t2")
     return r.select("task", "mode", "attempt", "ok", "error", "prompt_tokens", "completion_tokens", "total_tokens",
@@ -243,6 +267,8 @@ QUERIES = {
     "g1_prompts": g1,
     "g2_parse_answers": g2,
     "g3_batch_scoring": g3,
+    "g3_stored_answers": g3_stored,
+    "a15_stored_answer_costs": a15_stored,
     "g4_call_records": g4,
     "g5_agent_baseline": g5,
     "a15_token_costs": lambda s, d: R.token_costs(stored_calls(s, d), ["task"]),

@@ -15,6 +15,7 @@ from tarnish.plans import sweep as W
 from tarnish.session import materialize, scratch_path
 from tarnish.sources.adapter import read_table
 from tarnish.sources.silver import silver
+from tarnish.sources.stores import SweepStore, read_sweep
 
 TASKS = ["t1", "t2", "t3"]
 SAMPLE = 1000
@@ -112,6 +113,18 @@ def e2(spark, sf):
                       F.round("abs_ratio_max", 4).alias("abs_ratio_max"), *[F.round(c, 6).alias(c) for c in RATES])
 
 
+def e2_resumed(spark, sf):
+    """A sweep in two runs: half of the families first, then all; the second run does only the rest of the cells."""
+    path, of = scratch_path(spark, "resumed-sweep"), silver(spark, sf)
+    first = [c for c in all_cells() if c.family in fv.SWEEP_FAMILIES[::2]]
+    for cells in (first, all_cells()):
+        W.resume_sweep(of, cells, SAMPLE, W.closed_form_ml, W.closed_form_agent, path, groups=("task",))
+    runs = SweepStore(path).ledger(spark).groupBy(*W.CELL_KEYS).agg(F.count(F.lit(1)).alias("n_runs"))
+    return read_sweep(spark, path).join(runs, W.CELL_KEYS).select(
+        *W.CELL_KEYS, "severity", "n", "n_runs", "parse_ok", F.round("abs_ratio_max", 4).alias("abs_ratio_max"),
+        *[F.round(c, 6).alias(c) for c in RATES if c not in ("tpr", "tnr")])
+
+
 def m7(spark, sf):
     """Deltas and ratios between neighbouring daily event averages, per user."""
     e = read_table(spark, sf, "events").groupBy("user_id").agg(
@@ -159,6 +172,7 @@ QUERIES = {
     "e1_plan_report": e1,
     "c12_many_cells": c12,
     "e2_j10_paired_sweep": e2,
+    "e2_resumed_sweep": e2_resumed,
     "e3_gate": e3,
     "a17_gate_decision": a17,
     "a18_cell_summary": lambda s, d: W.cell_summary(sweep_results(s, d)),

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -32,17 +34,99 @@ def append_sweep(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("task", "family").parquet(path)
 
 
-def read_sweep(spark: SparkSession, path: str) -> DataFrame:
-    """The stored cells, or an empty frame when nothing is stored yet."""
-    empty = spark.createDataFrame([], fv.SWEEP_SCHEMA)
+def _read(spark: SparkSession, schema: str, path: str) -> DataFrame:
+    """A stored frame, or an empty one when nothing is stored yet."""
+    empty = spark.createDataFrame([], schema)
     try:
-        return spark.read.schema(fv.SWEEP_SCHEMA).parquet(path).select(*empty.columns)
+        return spark.read.schema(schema).parquet(path).select(*empty.columns)
     except AnalysisException as e:
         if _missing(e):
             return empty
         raise
 
 
+def read_sweep(spark: SparkSession, path: str) -> DataFrame:
+    """The stored cells, or an empty frame when nothing is stored yet."""
+    return _read(spark, fv.SWEEP_SCHEMA, path)
+
+
+# ---- resumable sweeps ----
+
+CELL_KEYS = ["task", "family", "severity_label", "seed"]
+LEDGER_SCHEMA = "run string, task string, family string, severity_label string, seed bigint, n bigint, ts string"
+CLEAN_SCHEMA = ("task string, sample_seed bigint, n bigint, family string, severity_label string, seed bigint, severity double, "
+                "ml_auc double, agent_auc double, n_rows bigint, tpr double, tnr double, parse_ok bigint")
+
+
+@dataclass(frozen=True)
+class SweepStore:
+    """Cells, clean conditions and the ledger of runs of one sweep, side by side.
+
+    A cell is a partition of its own and is written by overwriting just that partition, so writing it again replaces it. The ledger is
+    appended after the cells it names are stored: a run that ends in between leaves cells that the next run simply replaces,
+    never a duplicate and never a named cell without its result.
+    """
+
+    path: str
+
+    def _replace(self, rows: DataFrame, path: str, *keys: str) -> None:
+        (rows.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*keys).parquet(path))
+
+    def write_cells(self, rows: DataFrame) -> None:
+        self._replace(rows, self.path, *CELL_KEYS)
+
+    def write_clean(self, rows: DataFrame) -> None:
+        columns = rows.sparkSession.createDataFrame([], CLEAN_SCHEMA).columns
+        self._replace(rows.select(*columns), f"{self.path}-clean", "task", "sample_seed", "n")
+
+    def clean(self, spark: SparkSession) -> DataFrame:
+        return _read(spark, CLEAN_SCHEMA, f"{self.path}-clean")
+
+    def finish(self, cells: DataFrame, n: int) -> None:
+        """Names cells (one row each, whose results are stored) as done by one run."""
+        cells.select(
+            F.lit(uuid.uuid4().hex).alias("run"), *CELL_KEYS, F.lit(n).cast("bigint").alias("n"),
+            F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("ts"),
+        ).coalesce(1).write.mode("append").parquet(f"{self.path}-ledger")
+
+    def ledger(self, spark: SparkSession) -> DataFrame:
+        return _read(spark, LEDGER_SCHEMA, f"{self.path}-ledger")
+
+
+# ---- answers by content ----
+
+@dataclass(frozen=True)
+class AnswerStore:
+    """Every answer a scorer has given, found again by the digest of its prompt, the scorer's name and the attempt.
+
+    The rows are call records, so the store is the call log of what was really asked and can be priced as such.
+    """
+
+    path: str
+    scorer: str
+    task: str
+    mode: str = "a1"
+
+    SCHEMA = f"prompt_sha256 string, scorer string, {fv.CALL_RECORD_SCHEMA}"
+
+    def calls(self, spark: SparkSession) -> DataFrame:
+        """The call records of all scorers and tasks."""
+        return _read(spark, self.SCHEMA, self.path)
+
+    def answers(self, spark: SparkSession, attempt: int) -> DataFrame:
+        """One record for each prompt: the earliest, should two runs have asked at the same time."""
+        mine = self.calls(spark).where((F.col("scorer") == self.scorer) & (F.col("attempt") == attempt))
+        record = F.struct("ts", "latency_s", "raw", "prompt_tokens", "completion_tokens", "parsed.*", "ok", "error", "attempt")
+        return mine.groupBy("prompt_sha256").agg(F.min_by(record, F.struct("ts", "raw")).alias("r")).select("prompt_sha256", "r.*")
+
+    def append(self, records: DataFrame) -> None:
+        """Stores call records that carry prompt_sha256."""
+        rows = records.withColumn("scorer", F.lit(self.scorer))
+        columns = [f.name for f in rows.sparkSession.createDataFrame([], self.SCHEMA).schema]
+        rows.select(*columns).write.mode("append").partitionBy("scorer", "attempt").parquet(self.path)
+
+
 # ---- reports ----
 
 def write_json_report(report: DataFrame, path: str) -> None:

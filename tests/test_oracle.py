@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from conftest import SF
 from oracle.check import TABLES, compare
 
-SLOW = {"e2_j10_paired_sweep", "a17_gate_decision", "a18_cell_summary", "a19_bootstrap_intervals",
+SLOW = {"e2_j10_paired_sweep", "e2_resumed_sweep", "g3_stored_answers", "a17_gate_decision", "a18_cell_summary", "a19_bootstrap_intervals",
         "a20_asymmetry_counts", "g3_batch_scoring", "g4_call_records"}  # run by python -m oracle.check
 KEYS = [k for k in entry.oracle_sql() if k not in SLOW and k != "w3_strict_sample"]
 
