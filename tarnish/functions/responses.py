@@ -53,10 +53,12 @@ def _as_number(v: Column) -> Column:
 def complete_json(text: Column) -> Column:
     """The JSON value that the whole text spells; NULL if anything stands before or after it.
 
-    The parser itself reads one value and ignores the rest, so the text is read as the only item of a list.
+    The parser itself reads one value and ignores the rest, so the text is read as the only item of a list and as the only
+    value of an object: a bracket or brace that closes one of them early leaves the other one broken.
     """
     items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
-    return F.when(F.size(items) == 1, F.get(items, F.lit(0)))
+    alone = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
+    return F.when((F.size(items) == 1) & alone, F.get(items, F.lit(0)))
 
 
 def _as_text(v: Column) -> Column:
@@ -74,10 +76,9 @@ def parse_answer(df: DataFrame, raw: str) -> DataFrame:
     """Adds prediction (-1 when unusable), confidence, rationale, ok, error."""
     kept = df.columns
     text = df.select("*", unfenced(F.col(raw)).alias("_text"))
-    whole = complete_json(F.col("_text"))
+    # the first flat object is only looked for where the whole text is no answer
     part = complete_json(F.regexp_extract("_text", r"\{[^{}]*\}", 0))
-    parsed = text.select("*", whole.alias("_whole"), part.alias("_part"))
-    parsed = parsed.select(*kept, F.coalesce("_whole", "_part").alias("_json"))
+    parsed = text.select(*kept, F.coalesce(complete_json(F.col("_text")), part).alias("_json"))
     read = parsed.select(
         *kept, "_json", F.schema_of_variant("_json").startswith("OBJECT").alias("_object"),
         _field(F.col("_json"), "prediction").alias("_p"), _field(F.col("_json"), "confidence").alias("_c"))

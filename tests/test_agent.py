@@ -75,6 +75,18 @@ CASES = [
     '[{"prediction": 1, "confidence": 0.5}]', "], [", '{"prediction": 1, "confidence": [0.5]}', '{"prediction": 1, "confidence": "high"}', "{broken", None]]
 
 
+#: A value, its closing sign, and an object after it: only the object can be read.
+CLOSED = [f"{v} {{\"prediction\": 1, \"confidence\": 0.9, \"rationale\": \"r\"}}"
+          for v in ("0]", '"x"]', "0}", "null]", "[1]]", '{"a": 1}]x', "0],[1", '0],"w":[')]
+
+
+def test_a_closing_sign_is_no_whole_answer(spark):
+    df = spark.createDataFrame([(raw,) for raw in CLOSED if not raw.startswith("{")], "raw string")
+    assert {(r["prediction"], r["confidence"], r["rationale"], r["ok"]) for r in parse_answer(df, "raw").collect()} == {(1, 0.9, "r", True)}
+    first = spark.createDataFrame([(raw,) for raw in CLOSED if raw.startswith("{")], "raw string")  # its first flat object lacks the keys
+    assert {r["error"] for r in parse_answer(first, "raw").collect()} == {"missing keys"}
+
+
 def test_answers(spark):
     df = spark.createDataFrame([(i, raw) for i, (raw, _) in enumerate(CASES)], "i int, raw string")
     got = {r["i"]: r for r in parse_answer(df, "raw").collect()}
