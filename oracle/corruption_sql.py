@@ -193,3 +193,14 @@ SQL = {
     "w6_simple_sample": sql(f"""SELECT {', '.join(['order_id', 'split', *T2_FEATURE_COLS])} FROM order_features
         ORDER BY {hash_of("'0'")}, order_id LIMIT 1000"""),
 }
+
+# a stream that is stopped and resumed gives what the batch gives
+SQL |= {
+    "c1_streamed": SQL["c1_missing_injection"],
+    "c2_streamed": SQL["c2_type_flip"],
+    "c6_streamed": SQL["c6_currency_unit_drift"],
+    "c7_streamed": SQL["c7_timezone_collapse"],
+    "c8_streamed": SQL["c8_category_taxonomy_drift"],
+    "c9_streamed": SQL["c9_mojibake_roundtrip"],
+    "c4_copies_undone": "SELECT * FROM events WHERE ts IS NOT NULL",
+}

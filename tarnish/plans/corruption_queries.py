@@ -16,15 +16,19 @@ def family(name):
     return lambda spark, sf: C.apply(silver(spark, sf), name, SEVERITY, SEED)
 
 
-def c2(spark, sf):
-    of = silver(spark, sf)
-    out = C.apply(of, "type_flip", SEVERITY, SEED)
+def c2_columns(of, out):
+    """The flipped columns as numbers, and whether each arrived as text."""
     numeric = S.numeric_columns(of)
     return out.selectExpr(
         "order_id", *[f"{S.number_sql(out, c)} as {c}" for c in numeric],
         *[f"schema_of_variant({c}) = 'STRING' as {c}_is_text" for c in numeric])
 
 
+def c2(spark, sf):
+    of = silver(spark, sf)
+    return c2_columns(of, C.apply(of, "type_flip", SEVERITY, SEED))
+
+
 def c3_many(spark, sf):
     """Level swaps alone, against a table of levels indexed beforehand, as a sweep gives them."""
     of = silver(spark, sf)
