@@ -112,6 +112,29 @@ def test_preprocessor_text_modes(features):
     assert pre.transform(rows, True).select("features").first()[0].size > 100
 
 
+def test_sparse_assembly_is_saved_and_read_back(spark, features, tmp_path):
+    rows = features.filter("y_t3 is not null")
+    pre = ml.Preprocessor.fit(rows.filter("split = 'train'"), "t3")
+    pre.save(str(tmp_path / "pre"))
+    again = ml.Preprocessor.load(spark, str(tmp_path / "pre"))
+    pick = lambda p, df: {r["order_id"]: r["features"] for r in p.transform(df, True).select("order_id", "features").collect()}
+    first = pick(pre, rows)
+    assert pick(again, rows) == first and len(first) == rows.count()
+    assert any(hasattr(v, "indices") for v in first.values())  # sparse where that is smaller
+    # the one of each level stands at its slot, an unseen level has none
+    slots = {(r["column"], r["level"]): r["slot"] for r in pre.slots.collect()}
+    for r in rows.limit(200).collect():
+        v, start = first[r["order_id"]].toArray(), len(pre.numeric)
+        for c in pre.categorical:
+            part = v[start:start + pre.widths[c]]
+            slot = slots.get((c, fv.MISSING_LEVEL if r[c] is None else str(r[c])))
+            assert [i for i, x in enumerate(part) if x] == ([] if slot is None else [slot])
+            start += pre.widths[c]
+    unseen = rows.limit(5).withColumn("customer_state", F.lit("nowhere"))
+    at = len(pre.numeric) + sum(pre.widths[c] for c in pre.categorical[:pre.categorical.index("customer_state")])
+    assert all(not v.toArray()[at:at + pre.widths["customer_state"]].any() for v in pick(pre, unseen).values())
+
+
 def test_level_slots(spark):
     df = spark.createDataFrame([("b",)] * 20 + [("a",)] * 25 + [("rare",)] * 3 + [(None,)] * 21, "customer_state string")
     got = {r["level"]: r["slot"] for r in ml.level_slots(df, ["customer_state"]).collect()}
