@@ -85,6 +85,12 @@ SQL = {
     "s1_typed_csv": sql("""SELECT * REPLACE (CAST(review_id AS VARCHAR) AS review_id, CAST(order_id AS VARCHAR) AS order_id,
         nullif(review_comment_title, '') AS review_comment_title,
         nullif(review_comment_message, '') AS review_comment_message) FROM c_reviews"""),
+    "s1_rejected_records": """SELECT 'lines' AS table_name, count(*) AS n_read, count_if(bad) AS n_rejected,
+        count_if(NOT bad) AS n_rows, CAST(sum(l_orderkey) FILTER (NOT bad) AS BIGINT) AS kept_keys,
+        CAST(sum(CAST(l_extendedprice AS DECIMAL(20, 2))) FILTER (NOT bad) AS DOUBLE) AS kept_price,
+        CAST(sum(CASE WHEN l_orderkey % 89 = 0 THEN length(l_orderkey::VARCHAR) ELSE length(l_orderkey::VARCHAR)
+            + length(l_partkey::VARCHAR) + length(l_linenumber::VARCHAR) + 6 END) FILTER (bad) AS BIGINT) AS rejected_chars
+        FROM (SELECT *, l_orderkey % 89 = 0 OR l_orderkey % 97 = 0 AS bad FROM lineitem)""",
     "s2_bronze_report": sql("SELECT * FROM t UNION ALL SELECT 'TOTAL', CAST(sum(n_rows) AS BIGINT), "
                             "CAST(sum(n_cols) AS BIGINT) FROM t", t=" UNION ALL ".join(
         f"SELECT '{STORED[n]}' AS table_name, count(*) AS n_rows, {WIDTHS[n]}::BIGINT AS n_cols FROM c_{n}" for n in NAMES)),

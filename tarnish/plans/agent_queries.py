@@ -176,6 +176,23 @@ def s1(spark, sf):
     return ingest.read_raw_csv(spark, path, columns, line_breaks=True)
 
 
+def s1_rejects(spark, sf):
+    """Lines as CSV, one in 97 with a price that is no number and one in 89 cut short: what is stored and what is rejected."""
+    raw, folder = scratch_path(spark, "raw-lines"), scratch_path(spark, "bronze")
+    text = lambda c: F.col(c).cast("string")
+    bad = F.when(F.col("l_orderkey") % 97 == 0, F.lit("n/a")).otherwise(text("l_extendedprice"))
+    whole = F.concat_ws(",", text("l_orderkey"), text("l_partkey"), text("l_linenumber"), bad)
+    line = F.when(F.col("l_orderkey") % 89 == 0, text("l_orderkey")).otherwise(whole)
+    A.read_table(spark, sf, "lineitem").select(line.alias("value")).write.text(raw)
+    columns = [("order_key", "bigint"), ("part_key", "bigint"), ("line_no", "int"), ("price", "double")]
+    report = ingest.ingest_csv(spark, raw, "lines", columns, False, folder, limit=0.1, header=False)
+    name = F.lit("lines").alias("table_name")
+    kept = spark.read.parquet(f"{folder}/lines").groupBy(name).agg(
+        F.sum("order_key").alias("kept_keys"), F.sum(F.col("price").cast("decimal(20,2)")).cast("double").alias("kept_price"))
+    rejects = spark.read.parquet(f"{folder}/quarantine/lines").groupBy(name).agg(F.sum(F.length("record")).alias("rejected_chars"))
+    return report.join(kept, "table_name").join(rejects, "table_name")
+
+
 def s2(spark, sf):
     return ingest.write_bronze(A.canonical_tables(spark, sf), scratch_path(spark, "bronze"))
 
@@ -252,6 +269,7 @@ def j12(spark, sf):
 
 QUERIES = {
     "s1_typed_csv": s1,
+    "s1_rejected_records": s1_rejects,
     "s2_bronze_report": s2,
     "s3_named_tables": s3,
     "s4_silver_store": s4,
