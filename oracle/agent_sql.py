@@ -94,7 +94,8 @@ SQL = {
     "s2_bronze_report": sql("SELECT * FROM t UNION ALL SELECT 'TOTAL', CAST(sum(n_rows) AS BIGINT), "
                             "CAST(sum(n_cols) AS BIGINT) FROM t", t=" UNION ALL ".join(
         f"SELECT '{STORED[n]}' AS table_name, count(*) AS n_rows, {WIDTHS[n]}::BIGINT AS n_cols FROM c_{n}" for n in NAMES)),
-    "s3_named_tables": sql("""SELECT seller_state AS name, count(*) AS n FROM c_sellers GROUP BY 1
+    "s3_named_tables": sql(" UNION ALL ".join(f"SELECT '{STORED[n]}' AS name, count(*) AS n FROM c_{n}" for n in NAMES) + """
+        UNION ALL SELECT seller_state, count(*) FROM c_sellers GROUP BY 1
         UNION ALL SELECT product_category_name, count(*) FROM c_products GROUP BY 1"""),
     "s4_silver_store": FEATURE_SQL["e4_order_features"],
     "s5_s6_call_log": f"""SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, {TASK}, 'a1' AS mode,

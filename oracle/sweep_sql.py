@@ -205,7 +205,7 @@ def _many_cells():
             SELECT r.*, c.*, r.y_t2 AS y, {hash_of('c.seed', 'r.order_id')} AS h
             FROM (SELECT f.*, s.sample_seed, {garbled} FROM order_features f
                   JOIN (SELECT order_id, CAST(seed AS BIGINT) AS sample_seed FROM (
-                        {drawn('y_t2', SEEDS, 'least(100, p)', 'least(200 - least(100, p), q)')})) s
+                        {drawn('y_t2', SEEDS, 'least(500, p)', 'least(1000 - least(500, p), q)')})) s
                   USING (order_id)) r
             JOIN (SELECT * RENAME (sample_seed AS cell_sample) FROM cells) c ON c.cell_sample = r.sample_seed))""",
                cells=cells_table(cells))

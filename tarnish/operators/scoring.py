@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tarnish.functions import scalars as S
 from tarnish.functions.responses import FAIL_RATIONALE, parse_answer
 from tarnish.operators.reports import union_all
-from tarnish.session import materialize
+from tarnish.session import materialize, ship_package
 from tarnish.sources.stores import AnswerStore
 
 # prompts and attempt number in; (raw answer, prompt tokens, completion tokens) per prompt out
@@ -25,6 +25,8 @@ PromptScorer = Callable[[list[str], int], list[tuple[str, int, int]]]
 
 
 def _ask(prompts: DataFrame, scorer: PromptScorer, attempt: int) -> DataFrame:
+    ship_package(prompts.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             t0 = time.time()

@@ -198,11 +198,12 @@ def s2(spark, sf):
 
 
 def s3(spark, sf):
-    path = scratch_path(spark, "bronze")
-    tables = A.canonical_tables(spark, sf)
-    ingest.write_bronze({n: tables[n] for n in ("products", "sellers")}, path)
-    ingest.read_tables(spark, path, ["products", "sellers"], views=True)
-    return spark.sql("""SELECT seller_state AS name, count(*) AS n FROM sellers GROUP BY 1
+    """All stored tables by name: rows of each, and two groupings, in SQL."""
+    path, tables = scratch_path(spark, "bronze"), A.canonical_tables(spark, sf)
+    ingest.write_bronze(tables, path)
+    ingest.read_tables(spark, path, list(tables), views=True)
+    counts = " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in tables)
+    return spark.sql(f"""{counts} UNION ALL SELECT seller_state, count(*) FROM sellers GROUP BY 1
         UNION ALL SELECT product_category_name, count(*) FROM products GROUP BY 1""")
 
 

@@ -90,7 +90,7 @@ def j8(spark, sf):
 
 def c12(spark, sf):
     cells = W.sweep_plan(["t2"], fv.FAMILIES)
-    return W.cell_rows(silver(spark, sf), cells, "t2", 200, "capped").select(
+    return W.cell_rows(silver(spark, sf), cells, "t2", SAMPLE, "capped").select(
         *W.CELL_KEYS, "order_id", "y", *fv.T2_FEATURE_COLS, F.array_join("_flipped", ",").alias("flipped"))
 
 
