@@ -43,6 +43,8 @@ COPIED = 1000
 #: Terms of a lexicon that is sent to every task.
 BROADCAST = 2_000_000
 KEY = ["h1", "h2"]
+#: Where a term is found, in the free bits of its hash.
+IN_TEXT, IN_EDITED, IN_BAND = 1, 2, 4
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -82,9 +84,9 @@ def neighbours(rows: DataFrame) -> DataFrame:
 
 
 def terms(text: Column) -> Column:
-    """The distinct terms of a text as hashes whose last two bits are free."""
+    """The distinct terms of a text as hashes whose last three bits are free."""
     words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(~3))))
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(~7))))
 
 
 def lexicon(rows: DataFrame, order: DataFrame) -> DataFrame:
@@ -144,7 +146,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = keyed(docs)
     order = materialize(neighbours(rows), "imatch_neighbours")
     words = lexicon(rows, order)
-    known = words.withColumn("in_band", F.lit(2).cast("bigint"))
+    known = words.withColumn("in_band", F.lit(IN_BAND).cast("bigint"))
     if words.count() <= BROADCAST:
         known = F.broadcast(known)
 
@@ -157,22 +159,27 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     both = texts.join(pieces, KEY).select(*KEY, "doc_id", "n", "own", "n1", "n2", "copies", "text", edited.alias("edited"))
     marked = both.select(
         *KEY, "own", F.struct("doc_id", "n", "n1", "n2", "copies", F.sha2("edited", 256).alias("edited_sha256")).alias("about"),
-        F.concat(terms(F.col("text")), F.transform(terms(F.col("edited")), lambda t: t.bitwiseOR(F.lit(1)))).alias("terms"))
+        terms(F.col("text")).alias("mine"), terms(F.col("edited")).alias("changed"))
+    # a term of both texts is one row
+    flagged = lambda found, bits: F.transform(found, lambda t: t.bitwiseOR(F.lit(bits)))
+    marked = marked.select(*KEY, "own", "about", F.concat(
+        flagged(F.array_intersect("mine", "changed"), IN_TEXT | IN_EDITED), flagged(F.array_except("mine", "changed"), IN_TEXT),
+        flagged(F.array_except("changed", "mine"), IN_EDITED)).alias("terms"))
     each = marked.select(*KEY, "own", "about", F.posexplode_outer("terms").alias("place", "term")).select(
         *KEY, "own", "term", F.when(F.coalesce("place", F.lit(0)) == 0, F.col("about")).alias("about"))
-    # last bit: of the edited text; the one before: within the band
-    found = each.join(known.withColumnRenamed("term", "_known"), F.col("term").bitwiseAND(F.lit(~1)) == F.col("_known"), "left").groupBy(
+    found = each.join(known.withColumnRenamed("term", "_known"), F.col("term").bitwiseAND(F.lit(~7)) == F.col("_known"), "left").groupBy(
         *KEY, "own").agg(
         F.first("about", ignorenulls=True).alias("about"),
         F.collect_list(F.col("term").bitwiseOR(F.coalesce("in_band", F.lit(0).cast("bigint")))).alias("terms"))
 
     def of(side: int) -> Column:
-        mine = F.filter("terms", lambda t: t.bitwiseAND(F.lit(1)) == side)
+        mine = F.filter("terms", lambda t: t.bitwiseAND(F.lit(side)) != 0)
         banded = let(mine, lambda all: let(
-            F.filter(all, lambda t: t.bitwiseAND(F.lit(2)) == 2), lambda band: F.when(F.size(band) > 0, band).otherwise(all)))
-        return let(F.transform(banded, lambda t: t.bitwiseAND(F.lit(~3))), signature)
+            F.filter(all, lambda t: t.bitwiseAND(F.lit(IN_BAND)) != 0), lambda band: F.when(F.size(band) > 0, band).otherwise(all)))
+        return let(F.transform(banded, lambda t: t.bitwiseAND(F.lit(~7))), signature)
 
-    base = materialize(found.select(*KEY, "own", "about.*", of(0).alias("mine"), of(1).alias("changed")), "imatch_signatures")
+    base = materialize(
+        found.select(*KEY, "own", "about.*", of(IN_TEXT).alias("mine"), of(IN_EDITED).alias("changed")), "imatch_signatures")
     first = base.where(~F.col("own")).select(F.col("h1").alias("n1"), F.col("h2").alias("n2"), F.col("mine").alias("following"))
     return base.join(first, ["n1", "n2"]).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select(
         "doc_id", F.col("n").alias("n_chars"), "edited_sha256", text_of(F.col("mine")).alias("fingerprint"),

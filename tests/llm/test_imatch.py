@@ -36,7 +36,7 @@ def terms(text):
 
 
 def signature(words, lexicon):
-    used = sorted(hashed(w) & ~3 for w in ((words & lexicon) or words))
+    used = sorted(hashed(w) & ~7 for w in ((words & lexicon) or words))
     parts = []
     for k in range(op.FAMILIES):
         drawn = sorted((hashed(("i", k), t) % 2 ** 64) >> 1 for t in used)
