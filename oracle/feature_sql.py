@@ -16,6 +16,7 @@ def _roles():
 
 SQL = {
     "e4_order_features": sql("SELECT * FROM order_features"),
+    "e4_colocated_features": sql("SELECT * FROM order_features"),
     "p1_date_parts": sql("SELECT order_id, purchase_hour, purchase_dow, purchase_month FROM of_wide"),
     "p2_day_differences": sql(f"SELECT order_id, {', '.join(TIME_DAY_COLS)} FROM of_wide"),
     "p3_product_volume": sql("""SELECT product_id, CAST(product_length_cm AS DOUBLE) * product_height_cm

@@ -10,12 +10,18 @@ from tarnish.functions.shapes import unpivot
 from tarnish.operators import features as X
 from tarnish.operators import reports as R
 from tarnish.sources import adapter as A
+from tarnish.sources.colocated import colocated_tables
 
 
 def order_features(spark, sf):
     return X.build_order_features(A.canonical_tables(spark, sf), A.TRAIN_END, A.VAL_END)
 
 
+def colocated_features(spark, sf):
+    """The same table from bronze in buckets of order_id: no further shuffle by order."""
+    return X.build_order_features(colocated_tables(spark, sf), A.TRAIN_END, A.VAL_END)
+
+
 def p1(spark, sf):
     ts = "order_purchase_timestamp"
     return A.orders(spark, sf).select(
@@ -182,6 +188,7 @@ def u1(spark, sf):
 
 QUERIES = {
     "e4_order_features": order_features,
+    "e4_colocated_features": colocated_features,
     "p1_date_parts": p1,
     "p2_day_differences": p2,
     "p3_product_volume": p3,

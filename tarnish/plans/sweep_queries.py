@@ -14,7 +14,7 @@ from tarnish.operators.sampling import rows_of, stratified_samples
 from tarnish.plans import sweep as W
 from tarnish.session import materialize, scratch_path
 from tarnish.sources.adapter import read_table
-from tarnish.sources.silver import silver
+from tarnish.sources.silver import silver, silver_path
 from tarnish.sources.stores import SweepStore, read_sweep
 
 TASKS = ["t1", "t2", "t3"]
@@ -95,13 +95,14 @@ def c12(spark, sf):
 
 
 def sweep_results(spark, sf):
-    """The evaluated sweep of all tasks, stored on first use like any sweep."""
-    if sf not in _SWEEPS:
+    """The evaluated sweep of all tasks, stored on first use and again for another feature table."""
+    stored = silver_path(spark, sf)
+    if stored not in _SWEEPS:
         path = scratch_path(spark, "sweep")
         materialize(W.run_sweep(silver(spark, sf), all_cells(), SAMPLE, W.closed_form_ml, W.closed_form_agent),
                     "sweep", path)
-        _SWEEPS[sf] = path
-    return spark.read.parquet(_SWEEPS[sf])
+        _SWEEPS[stored] = path
+    return spark.read.parquet(_SWEEPS[stored])
 
 
 RATES = ["ml_auc", "agent_auc", "ml_auc_clean", "agent_auc_clean", "ml_delta", "agent_delta", "tpr", "tnr"]

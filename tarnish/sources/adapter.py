@@ -126,6 +126,9 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The test tables that the canonical ones are made of.
+SOURCES = ("orders", "lineitem", "documents", "labels", "customer", "nation", "supplier", "part")
+
 TABLES = {
     "orders": orders,
     "order_items": order_items,
