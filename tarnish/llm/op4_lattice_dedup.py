@@ -6,12 +6,14 @@ in the nearest neighbouring cells, so two vectors meet if one neighbourhood reac
 by cosine in double precision. A pair that meets in several cells counts in the first one only, which each cell finds out from the
 cells that its vectors list, so no list of pairs is ever shuffled: a cell gives counts of links and a tree of its components.
 
-Cells of more than ``BLOCK`` vectors are cut into blocks that meet pairwise, each pair in a task of its own. Vectors alone in a cell
-are dropped before any vector is sent.
+Vectors of equal direction are one class: its vector of the least id stands for all of them in the cells, with their number, so copies cost
+one entry however many they are, and their links follow: those of the class and the size of it less one. Classes are told apart by
+128 bits of hash. Cells of more than ``BLOCK`` classes are cut into blocks that meet pairwise, each pair in a task of its own. Classes alone
+in a cell are dropped before any vector is sent.
 
 Defined results: a vector that is null, zero, or holds null or non-finite components links with nothing; vectors of different length
-never link; a null id links with nothing, and its component is null; rows that repeat an id are one vector if they are equal, and
-any one of them counts if not. An empty table gives no rows.
+never link; a null id links with nothing, and its component is null; rows that repeat an id are one vector, the one of the least
+direction (compared component by component) among those that can link. An empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -107,23 +109,37 @@ def unit_vectors(column: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return rows, vectors
 
 
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at, x in zip(*unit_vectors(batch.column("embedding"))):
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("vec_id").take(pa.array(at)), lists((x + 0.0).ravel(), np.full(len(x), x.shape[1]), pa.float64())],
+                names=["vec_id", "unit"])
+
+
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Unit vectors in; with their cells out, in slices of one length of vector."""
     for batch in batches:
-        rows, vectors = unit_vectors(batch.column("embedding"))
-        for at, x in zip(rows, vectors):
-            for lo in range(0, len(at), 2048):
-                part = x[lo: lo + 2048]
+        units = batch.column("unit")
+        offsets = np.asarray(units.offsets, dtype=np.int64)
+        values, sizes = np.asarray(units.values), np.diff(offsets)
+        for d in np.unique(sizes):
+            of = np.flatnonzero(sizes == d)
+            for lo in range(0, len(of), 2048):
+                at = of[lo: lo + 2048]
+                part = values[offsets[at][:, None] + np.arange(d)]
                 found = cells(part)
+                rows = pa.array(at)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("vec_id").take(pa.array(at[lo: lo + 2048])),
-                     lists(part.ravel(), np.full(len(part), part.shape[1]), pa.float64()),
+                    [batch.column("vec_id").take(rows), batch.column("size").take(rows),
+                     lists(part.ravel(), np.full(len(part), d), pa.float64()),
                      lists(signed(found.ravel()), np.full(len(part), found.shape[1]), pa.int64())],
-                    names=["vec_id", "unit", "cells"])
+                    names=["vec_id", "size", "unit", "cells"])
 
 
 def block_links(a: tuple, b: tuple | None, cell: int, cosine: float = COSINE):
-    """Links between two blocks, or within one: (ids, link counts), edges. A block is ids, unit vectors, cells."""
-    (ia, xa, ca), (ib, xb, cb) = a, b or a
+    """Links between two blocks, or within one: (ids, link counts), edges. A block is ids, unit vectors, cells, class sizes."""
+    (ia, xa, ca, na), (ib, xb, cb, nb) = a, b or a
     with np.errstate(all="ignore"):
         linked = xa @ xb.T >= cosine
     linked &= ia[:, None] != ib[None, :]
@@ -138,7 +154,7 @@ def block_links(a: tuple, b: tuple | None, cell: int, cosine: float = COSINE):
                 return out
             linked &= (listed(ca) @ listed(cb).T) == 0  # met before, in a cell of a lesser key
     ids = np.concatenate([ia, ib]) if b else ia
-    counts = np.concatenate([linked.sum(1), linked.sum(0)]) if b else linked.sum(1)
+    counts = np.concatenate([linked @ nb, na @ linked]) if b else linked @ nb
     label_a, label_b = ia.copy(), ib.copy()
     big = np.iinfo(np.int64).max
     while True:
@@ -158,7 +174,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, i, j = key
         def block(side):
             r = {x[1]: x for x in rows if x[0] == side}.values()
-            return (np.array([x[1] for x in r], np.int64), np.array([x[2] for x in r]), np.array([x[3] for x in r], np.int64))
+            return (np.array([x[1] for x in r], np.int64), np.array([x[2] for x in r]), np.array([x[3] for x in r], np.int64),
+                    np.array([x[4] for x in r], np.int64))
         first = block(0)
         second = block(1) if i != j else None
         if not len(first[0]) or second is not None and (not len(second[0]) or first[1].shape[1] != second[1].shape[1]):
@@ -173,15 +190,15 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held, key, found = [], None, []
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("cell", "i", "j", "side", "vec_id")]
+        columns = [batch.column(c).to_pylist() for c in ("cell", "i", "j", "side", "vec_id", "size")]
         units = [np.asarray(u.values) for u in batch.column("unit")]
         listed = [np.asarray(u.values) for u in batch.column("cells")]
-        for cell, i, j, side, vec_id, unit, cs in zip(*columns, units, listed):
+        for cell, i, j, side, vec_id, size, unit, cs in zip(*columns, units, listed):
             if (cell, i, j) != key:
                 if held and (r := done(key, held)) and len(r[0]):
                     found.append(r)
                 held, key = [], (cell, i, j)
-            held.append((side, vec_id, unit, cs))
+            held.append((side, vec_id, unit, cs, size))
         yield emit(found)
         found = []
     if held and (r := done(key, held)) and len(r[0]):
@@ -191,8 +208,12 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def linked(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
     rows = own(vectors, "vec_id", "embedding").selectExpr("cast(vec_id as bigint) vec_id", "embedding")
-    entered = rows.where("vec_id is not null and embedding is not null").mapInArrow(
-        _entries, "vec_id bigint, unit array<double>, cells array<bigint>").dropDuplicates(["vec_id"])
+    units = rows.where("vec_id is not null and embedding is not null").mapInArrow(
+        _units, "vec_id bigint, unit array<double>").groupBy("vec_id").agg(F.min("unit").alias("unit"))
+    units = materialize(units.selectExpr("vec_id", "unit", "xxhash64(unit) h", "xxhash64(1, unit) g"), "lattice_units")
+    classes = materialize(units.groupBy("h", "g").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("size")), "lattice_classes")
+    entered = units.select("vec_id", "unit").join(classes.selectExpr("first vec_id", "size"), "vec_id").select("vec_id", "size", "unit").mapInArrow(
+        _entries, "vec_id bigint, size bigint, unit array<double>, cells array<bigint>")
     entered = materialize(entered, "lattice_entries")
     listed = entered.select("vec_id", F.explode(F.array_distinct("cells")).alias("cell"))
     full = listed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").selectExpr(
@@ -204,7 +225,11 @@ def linked(vectors: DataFrame) -> DataFrame:
     found = materialize(sent.mapInArrow(_compared, "vec_id bigint, links bigint, label bigint"), "lattice_links")
     counts = found.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
     labels = components(found.selectExpr("vec_id a", "label b").distinct()).withColumnRenamed("id", "vec_id")
-    return rows.select("vec_id").join(counts, "vec_id", "left").join(labels, "vec_id", "left").selectExpr(
+    of_class = classes.join(counts.withColumnRenamed("vec_id", "first"), "first", "left").join(
+        labels.withColumnRenamed("vec_id", "first"), "first", "left").selectExpr(
+        "h", "g", "coalesce(n_links, 0L) + size - 1 n_links", "coalesce(component, first) component")
+    of_vector = units.select("vec_id", "h", "g").join(of_class, ["h", "g"]).drop("h", "g")
+    return rows.select("vec_id").join(of_vector, "vec_id", "left").selectExpr(
         "vec_id", "coalesce(n_links, 0L) n_links", "coalesce(component, vec_id) component_id",
         "coalesce(component, vec_id) <=> vec_id kept")
 

@@ -210,6 +210,36 @@ def test_vectors_against_all_pairs(spark):
     assert op4_lattice_dedup.linked(df).count() == len(rows)
 
 
+def test_copies_of_vectors_against_all_pairs(spark):
+    """Classes of copies of three sizes, chains of near vectors, a repeated id with two vectors: links and components of every row."""
+    importable(spark)
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((120, 8))
+    for i in range(1, 30):
+        x[i] = x[i - 1] + 0.2 * rng.standard_normal(8)  # a chain: neighbours link, ends need not
+    x[40:100] = x[5]  # copies within the chain
+    x[100:110] = x[30]
+    x[110] = 4.0 * x[30]  # the same direction
+    ids = rng.permutation(120) + 10
+    df = spark.createDataFrame([(int(i), v.tolist(), "x") for i, v in zip(ids, x)], "vec_id bigint, embedding array<double>, first string").repartition(7)
+    other = spark.createDataFrame([(int(ids[0]), [1e6] * 8, "x")], df.schema)  # of the two directions the lesser counts
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    if tuple(np.ones(8) / np.sqrt(8)) < tuple(unit[0]):
+        unit[0] = np.ones(8) / np.sqrt(8)
+    near = (unit @ unit.T >= 0.95) & ~np.eye(120, dtype=bool)
+    label = ids.copy()
+    while True:
+        new = np.minimum(label, np.where(near, label[None, :], 10**9).min(1))
+        if (new == label).all():
+            break
+        label = new
+    want = {int(i): (int(n), int(c), bool(i == c)) for i, n, c in zip(ids, near.sum(1), label)}
+    out = op4_lattice_dedup.linked(df.unionByName(other)).collect()
+    assert len(out) == 121 and max(n for n, _, _ in want.values()) >= 60
+    assert all(want[r["vec_id"]] == (r["n_links"], r["component_id"], r["kept"]) for r in out)
+    assert op4_lattice_dedup.linked(df.limit(0)).collect() == []
+
+
 def test_page_text(spark):
     importable(spark)
     frame = "<html><head><title>t</title></head><body><nav><a>menu</a></nav>{}<div>Shared frame line</div><footer>f</footer></body>"
