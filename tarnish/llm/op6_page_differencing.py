@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,14 +42,16 @@ _TOKEN = re.compile(
 _BLANK = re.compile(r"\s+")
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 #: Names of advert and comment blocks, of the other parts of a frame, and words that may stand beside these in a name of several parts.
-_CLEAR = r"ads?|advert\w*|sponsor\w*|promo\w*|comments?|disqus|replies|respond"
-_FRAME = (r"banner|nav\w*|menu|breadcrumbs?|sidebar|aside|footer|header|masthead|cookies?|consent|notices?|popup|modal|newsletter|subscribe"
+_CLEAR = r"ads?|advert[a-z0-9]*|sponsor[a-z0-9]*|promo[a-z0-9]*|comments?|disqus|replies|respond|feedback|discussion"
+_FRAME = (r"banner|(?:top|main|sub|side)?nav[a-z0-9]*|menu|breadcrumbs?|sidebar|aside|footer|header|masthead|cookies?|consent|notices?|popup|modal|newsletter|subscribe"
           r"|share|social|related|widget|search|login|signup|toolbar|pagination|pager|navigation|contentinfo|complementary|dialog|alert"
           r"|gdpr|paywall")
 _BESIDE = (r"site|page|global|main|primary|secondary|top|bottom|left|right|fixed|sticky|inner|outer|wrapper|wrap|container|box|block|bar|area"
            r"|list|links?|items?|buttons?|icons?|media|slot|unit|form|\d+")
-_CLEAR_NAME = re.compile(rf"(?:(?:{_BESIDE})[_-]+)*(?:{_CLEAR})(?:[_-]+(?:{_CLEAR}|{_FRAME}|{_BESIDE}))*", re.I)
-_FRAME_NAME = re.compile(rf"(?:(?:{_BESIDE})[_-]+)*(?:{_FRAME})(?:[_-]+(?:{_CLEAR}|{_FRAME}|{_BESIDE}))*", re.I)
+_CLEAR_PART, _KNOWN_PART = re.compile(_CLEAR), re.compile(f"{_CLEAR}|{_FRAME}|{_BESIDE}")
+_BESIDE_PART = re.compile(_BESIDE)
+#: First parts of a name that says what a block has, not what it is.
+_STATES = frozenset("has no with without is hide".split())
 #: Part of the characters of the larger of two pages that makes them copies, and the bits of a mark that hold the length of its line.
 COPY, LENGTH_BITS = 0.8, 20
 #: Elements that are left out with all they hold; those that begin and end a block; those that have no end.
@@ -65,6 +69,23 @@ CLOSES_ITSELF = frozenset("p li td th tr dt dd option".split())
 HIDDEN, KIND, NAME, CLEAR = 1, 2, 3, 4
 
 
+@lru_cache(1 << 12)
+def kind_of_name(word: str) -> int:
+    """CLEAR or NAME for the name of a block of adverts or comments, or of the frame; else 0.
+
+    Whatever parts stand before it, a name that ends in known parts, one of them for adverts or comments, is theirs (reader-comments), but for one
+    that states their presence (has-ads). A name of the frame has known parts only.
+    """
+    parts = re.split("[_-]+", word.lower())
+    known = 0
+    while known < len(parts) and _KNOWN_PART.fullmatch(parts[-1 - known]):
+        known += 1
+    ending = parts[len(parts) - known:]
+    if parts[0] not in _STATES and any(_CLEAR_PART.fullmatch(x) for x in ending):
+        return CLEAR
+    return NAME if known == len(parts) and not all(_BESIDE_PART.fullmatch(x) for x in parts) else 0
+
+
 def reason(name: str, attributes: str, inner: bool) -> int:
     """Why an element is left out, 0 if it isn't; inner: it stands in an article or main element."""
     if name in MAIN or name in ("html", "body"):
@@ -80,9 +101,10 @@ def reason(name: str, attributes: str, inner: bool) -> int:
             return HIDDEN
         if kind in ("class", "id", "role") and found in (0, NAME):
             for word in value.split():
-                if _CLEAR_NAME.fullmatch(word):
+                named = kind_of_name(word) if len(word) < 256 else kind_of_name.__wrapped__(word)  # long ones aren't held
+                if named == CLEAR:
                     found = CLEAR
-                elif not inner and not found and _FRAME_NAME.fullmatch(word):
+                elif named and not inner and not found:
                     found = NAME
     return found
 
@@ -115,6 +137,8 @@ def _walk(page: str, tokens: list[re.Match], keep: frozenset[int]) -> tuple[list
     out = 0  # open elements that are left out
     inner = 0  # open article or main elements
     fixed = 0  # open elements that are left out for what they are, whose text doesn't count
+    hidden = 0  # open elements that are hidden
+    opened: Counter[str] = Counter()  # open elements by name, so that a stray end tag costs no search
     mains = chars = 0  # article and main elements and characters so far
 
     def end_block() -> None:
@@ -126,9 +150,11 @@ def _walk(page: str, tokens: list[re.Match], keep: frozenset[int]) -> tuple[list
                 main.append(inner > 0)
 
     def close(upto: int) -> None:
-        nonlocal out, inner, fixed
+        nonlocal out, inner, fixed, hidden
         while len(stack) > upto:
             name, why, where, *before = stack.pop()
+            opened[name] -= 1
+            hidden -= why == HIDDEN
             out -= why > 0
             fixed -= why in (HIDDEN, KIND)
             inner -= name in MAIN
@@ -150,10 +176,11 @@ def _walk(page: str, tokens: list[re.Match], keep: frozenset[int]) -> tuple[list
         if name in BLOCKS and not out:
             end_block()
         if found.group(2):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
+            if opened[name]:
+                k = len(stack) - 1
+                while stack[k][0] != name:  # all of these end here
+                    k -= 1
+                close(k)
             continue
         if name in VOID:
             continue
@@ -161,10 +188,12 @@ def _walk(page: str, tokens: list[re.Match], keep: frozenset[int]) -> tuple[list
             close(len(stack) - 1)
         why = 0 if found.start() in keep else reason(name, found.group(4) or "", inner > 0)
         stack.append((name, why, found.start(), mains, chars))
+        opened[name] += 1
+        hidden += why == HIDDEN
         out += why > 0
         fixed += why in (HIDDEN, KIND)
         inner += name in MAIN
-        mains += name in MAIN and all(x[1] != HIDDEN for x in stack)
+        mains += name in MAIN and not hidden
     if not out and at < len(page):
         held.append(page[at:])
         chars += len(page[at:].strip())

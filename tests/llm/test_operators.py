@@ -240,6 +240,31 @@ def test_copies_of_vectors_against_all_pairs(spark):
     assert op4_lattice_dedup.linked(df.limit(0)).collect() == []
 
 
+def test_markup_is_walked_in_linear_time():
+    import time
+
+    def seconds(n):
+        t0 = time.process_time()
+        lines, _ = op6_page_differencing.lines_of("<div>" * n + "text" + "</span>" * n + "<article>" * n + "<p>in" + "</b>" * n)
+        assert lines[-1] == "in"
+        return time.process_time() - t0
+
+    seconds(1000)
+    assert seconds(40_000) < 2  # 1 MB
+    assert op6_page_differencing.kind_of_name.__wrapped__("ads-" * 100_000) == 0
+    assert op6_page_differencing.kind_of_name("promo_" * 60 + "!") == 0
+
+
+@pytest.mark.parametrize("name, out, within", [
+    ("reader-comments", True, True), ("post-ad", True, True), ("feedback", True, True), ("topnav", True, False), ("site-header", True, False),
+    ("has-ads", False, False), ("comment-free-zone", False, False), ("nav-", False, False), ("story", False, False)])
+def test_names_of_blocks(name, out, within):
+    """A block of that name is left out beside an article, and within one."""
+    text = "a long text of the page " * 9
+    lines, _ = op6_page_differencing.lines_of(f'<p>{text}</p><div class="{name}">X</div><article><p>in</p><div class="{name}">Y</div></article>')
+    assert ("X" not in lines, "Y" not in lines) == (out, within)
+
+
 def test_page_text(spark):
     importable(spark)
     frame = "<html><head><title>t</title></head><body><nav><a>menu</a></nav>{}<div>Shared frame line</div><footer>f</footer></body>"
