@@ -11,8 +11,9 @@ import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnish import fixed_values as fv
 from tarnish.functions import scalars as S
@@ -205,6 +206,14 @@ def duplicate_draws(n: int, k: int, seed: int, spark) -> DataFrame:
         (F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % F.lit(n)).alias("_idx"))
 
 
+def row_digest(df: DataFrame) -> Column:
+    """128 bits of hash of all values of a row and of which of them are null: equal for equal rows."""
+    nested = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
+    values = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if isinstance(f.dataType, nested) else F.col(f"`{f.name}`") for f in df.schema.fields]
+    cells = [F.array(*[F.col(f"`{c}`").isNull() for c in df.columns]), *values]
+    return F.concat_ws("-", F.hex(F.xxhash64(*cells)), F.hex(F.xxhash64(F.lit(1), *cells)))
+
+
 def duplicate_rows(df, severity, seed, key=KEY, copy_column: str | None = None):
     """Appends exactly round(severity · n) rows drawn with replacement, on any frame.
 
@@ -216,8 +225,7 @@ def duplicate_rows(df, severity, seed, key=KEY, copy_column: str | None = None):
     originals = df.select("*", *numbered)
     if severity <= 0:
         return originals
-    whole = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}))
-    digested = df.withColumn("_row", whole)
+    digested = df.withColumn("_row", row_digest(df))
     distinct = digested.groupBy(key, "_row").agg(F.count(F.lit(1)).alias("_count"))
     index = dense_index(distinct, key, tie="_row", weight="_count")
     k = round_half_even(severity * index.n)
@@ -226,7 +234,7 @@ def duplicate_rows(df, severity, seed, key=KEY, copy_column: str | None = None):
     places = index.rows.select(key, "_row", F.explode(F.sequence("_idx", F.col("_idx") + F.col("_count") - 1)).alias("_idx"))
     drawn = duplicate_draws(index.n, k, seed, df.sparkSession).join(places, "_idx").select(
         F.col(key).alias("_key"), F.col("_row").alias("_drawn"), "_copy_no")
-    one_each = digested.dropDuplicates([key, "_row"])
+    one_each = digested if index.largest <= 1 else digested.dropDuplicates([key, "_row"])
     # keys may be NULL
     copies = one_each.join(drawn, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_row") == F.col("_drawn"))).select(
         *df.columns, *([F.col("_copy_no").alias(copy_column)] if copy_column else []))

@@ -24,6 +24,7 @@ BUCKETS = 4096
 class DenseIndex:
     rows: DataFrame
     n: int
+    largest: int
 
 
 def bucket_of(key: Column, buckets: int = BUCKETS) -> Column:
@@ -32,7 +33,7 @@ def bucket_of(key: Column, buckets: int = BUCKETS) -> Column:
 
 def dense_index(df: DataFrame, key: str, out: str = "_idx", buckets: int = BUCKETS, tie: str | None = None,
                 weight: str | None = None) -> DenseIndex:
-    """Narrow (key, index) rows plus their number. At most ``buckets`` counts reach the driver.
+    """Narrow (key, index) rows, their number and the largest weight. At most ``buckets`` counts reach the driver.
 
     ``tie`` orders rows of equal keys; a row with a ``weight`` takes that many places, from its index on. Both columns are kept.
     """
@@ -40,11 +41,12 @@ def dense_index(df: DataFrame, key: str, out: str = "_idx", buckets: int = BUCKE
     places = F.col(weight) if weight else F.lit(1).cast("bigint")
     # a NULL key hashes like any other
     keyed = df.select(key, *extra, F.coalesce(bucket_of(F.col(key), buckets), F.lit(0)).alias("_bucket"))
-    sizes = dict(keyed.groupBy("_bucket").agg(F.sum(places)).collect())
+    seen = keyed.groupBy("_bucket").agg(F.sum(places), F.max(places)).collect()
+    sizes = {bucket: n for bucket, n, _ in seen}
     offsets = [0, *accumulate(sizes.get(b, 0) for b in range(buckets))]
     w = Window.partitionBy("_bucket").orderBy(*[c for c in (key, tie) if c]).rowsBetween(Window.unboundedPreceding, 0)
     at = element(offsets[:-1], F.col("_bucket")) + F.sum(places).over(w) - places
-    return DenseIndex(keyed.select(key, *extra, at.alias(out)), offsets[-1])
+    return DenseIndex(keyed.select(key, *extra, at.alias(out)), offsets[-1], max((most for _, _, most in seen), default=0))
 
 
 def element(values: list[int], at: Column) -> Column:
