@@ -89,3 +89,36 @@ def test_stored_split_is_used(spark):
     of = X.build_order_features(tables)
     assert {r[0] for r in of.select("split").distinct().collect()} == {"val"}
     assert of.schema["n_items"].metadata["comment"] == "Number of items in the order."
+
+
+def test_small_and_large_orders_alike(spark, monkeypatch):
+    """Orders taken together by one task give what the step-by-step way gives, also with repeated keys of dimensions and null keys."""
+    items = spark.createDataFrame(
+        [(o if o % 9 else None, (o * 7 + i * i) % 6 if i % 4 else None, (o + i) % 4 if i % 3 else None, 10.25 * (i + 1) if i % 5 else None, 1.5 * i)
+         for o in range(40) for i in range(1 + o % 7)],
+        "order_id bigint, product_id bigint, seller_id bigint, price double, freight_value double").repartition(3)
+    products = spark.createDataFrame(
+        [(0, "x", 5, 2, 3, 4), (0, "x", None, 1, 1, 1), (0, "y", 7, None, 2, 2), (1, None, 9, 1, 2, 3), (1, None, 9, 1, 2, 3),
+         (2, "a", 2, 2, 2, 2), (None, "b", 1, 1, 1, 1), (3, "y", None, None, 1, 1)],
+        "product_id bigint, product_category_name string, product_weight_g bigint, product_length_cm bigint, "
+        "product_height_cm bigint, product_width_cm bigint")
+    sellers = spark.createDataFrame([(0, "SP"), (0, "RJ"), (1, "SP"), (1, "SP"), (2, None), (None, "MG")], "seller_id bigint, seller_state string")
+    payments = items.selectExpr("order_id", "if(seller_id = 1, null, concat('t', product_id % 3)) payment_type", "price payment_value",
+                                "product_id payment_installments")
+
+    def made():
+        return rows(X.item_aggregates(items, products, sellers), "order_id"), rows(X.payment_aggregates(payments), "order_id")
+
+    small = made()
+    assert len(small[0]) == 35 and len(small[1]) == 36
+    for most in (0, 3):
+        monkeypatch.setattr(X, "MOST_ROWS", most)
+        assert made() == small
+
+
+def test_items_are_shuffled_once_a_side(spark):
+    """The groupings within an order of items and payments need no shuffle of their own."""
+    items = spark.range(10).selectExpr("id order_id", "id payment_sequential", "'x' payment_type", "id payment_installments", "1.0D payment_value")
+    small, _ = X._by_size(items)
+    plan = X.payment_aggregates(items)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [order_id" in plan and small.columns == items.columns
