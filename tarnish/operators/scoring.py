@@ -10,7 +10,7 @@ import time
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +20,9 @@ from tarnish.operators.reports import union_all
 from tarnish.session import materialize, ship_package
 from tarnish.sources.stores import AnswerStore
 
+#: Prompts that are handed to the scorer together.
+CALL_PROMPTS = 500
+
 # prompts and attempt number in; (raw answer, prompt tokens, completion tokens) per prompt out
 PromptScorer = Callable[[list[str], int], list[tuple[str, int, int]]]
 
@@ -27,19 +30,24 @@ PromptScorer = Callable[[list[str], int], list[tuple[str, int, int]]]
 def _ask(prompts: DataFrame, scorer: PromptScorer, attempt: int) -> DataFrame:
     ship_package(prompts.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c for c in prompts.columns if c != "prompt"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t0 = time.time()
-            answers = scorer(batch["prompt"].tolist(), attempt)
-            spent = round((time.time() - t0) / max(1, len(batch)), 3)
-            yield batch.drop(columns="prompt").assign(
-                ts=datetime.now(timezone.utc).isoformat(), latency_s=spent,
-                raw=[a[0] for a in answers], prompt_tokens=[a[1] for a in answers],
-                completion_tokens=[a[2] for a in answers])
+            # a batch may hold thousands of long prompts; only those of one call become Python texts
+            for part in (batch.slice(at, CALL_PROMPTS) for at in range(0, batch.num_rows, CALL_PROMPTS)):
+                t0 = time.time()
+                answers = scorer(part.column("prompt").to_pylist(), attempt)
+                spent, now, n = round((time.time() - t0) / part.num_rows, 3), datetime.now(timezone.utc).isoformat(), part.num_rows
+                made = {"ts": pa.array([now] * n, pa.string()), "latency_s": pa.array([spent] * n, pa.float64()),
+                        "raw": pa.array([a[0] for a in answers], pa.string()),
+                        "prompt_tokens": pa.array([a[1] for a in answers], pa.int64()),
+                        "completion_tokens": pa.array([a[2] for a in answers], pa.int64())}
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + list(made.values()), names=names + list(made))
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields if f.name != "prompt")
     schema = kept + ", ts string, latency_s double, raw string, prompt_tokens bigint, completion_tokens bigint"
-    return parse_answer(prompts.mapInPandas(run, schema), "raw").withColumn("attempt", F.lit(attempt))
+    return parse_answer(prompts.mapInArrow(run, schema), "raw").withColumn("attempt", F.lit(attempt))
 
 
 def score_prompts(prompts: DataFrame, keys: list[str], scorer: PromptScorer, retries: int = 1,

@@ -185,3 +185,14 @@ def test_profile_of_empty_and_constant_columns(spark):
     assert lines[1] == "a: numeric  n=0  miss=100%  (empty)" and "corr_y=+0.000" in lines[2]
     assert lines[3] == "s: categorical  n=0  miss=100%  (empty)"
     assert not math.isnan(0.0)
+
+
+def test_a_scorer_is_handed_few_prompts_at_a_time(spark):
+    """However many rows a batch holds, only those of one call become Python texts."""
+    def counted(prompts, attempt):
+        return [(f'{{"prediction": 1, "confidence": 0.5, "rationale": "{len(prompts)}"}}', 1, 1) for _ in prompts]
+
+    df = spark.range(1, 1302, 1, 1).selectExpr("id", "cast(id as string) as prompt", "timestamp'2020-01-01' as at")
+    calls = C.score_prompts(df, ["id", "at"], counted).collect()
+    assert sorted(r["id"] for r in calls) == list(range(1, 1302)) and all(r["ok"] for r in calls)
+    assert {int(r["rationale"]) for r in calls} == {500, 301}
