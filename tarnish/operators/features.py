@@ -150,16 +150,22 @@ def _by_size(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.join(large, same, "left_anti"), rows.join(large, same, "left_semi")
 
 
-def item_aggregates(items: DataFrame, products: DataFrame, sellers: DataFrame) -> DataFrame:
+class ByOrder(dict):
+    """Tables by name that are stored in buckets of the order: no grouping within an order shuffles them."""
+
+
+def item_aggregates(items: DataFrame, products: DataFrame, sellers: DataFrame, stored_by_order: bool = False) -> DataFrame:
     """Counts, sums, distinct counts and the modal category per order.
 
     The items of an order meet the dimensions and are then shuffled and sorted once for each of both sides. Large orders are reduced step by
     step instead, from (order, product) and (order, seller) to the order, so distinct and modal values need no per-order set, and
-    an order that holds a third of all items is spread over many tasks until only a few rows of it are left.
+    an order that holds a third of all items is spread over many tasks until only a few rows of it are left. So are all orders of items that
+    are stored by order, as no step shuffles these.
     """
-    small, large = _by_size(items.where("order_id is not null"))
-    both = _small_product_side(small, products).join(_small_seller_side(small, sellers), "order_id").unionByName(
-        _product_side(large, products).join(_seller_side(large, sellers), "order_id"))
+    small, large = (None, items) if stored_by_order else _by_size(items.where("order_id is not null"))
+    both = _product_side(large, products).join(_seller_side(large, sellers), "order_id")
+    if small is not None:
+        both = _small_product_side(small, products).join(_small_seller_side(small, sellers), "order_id").unionByName(both)
     price, freight = S.money(F.col("_price")), S.money(F.col("_freight"))
     return both.select(
         "order_id", "n_items",
@@ -171,15 +177,17 @@ def item_aggregates(items: DataFrame, products: DataFrame, sellers: DataFrame) -
     )
 
 
-def payment_aggregates(payments: DataFrame) -> DataFrame:
+def payment_aggregates(payments: DataFrame, stored_by_order: bool = False) -> DataFrame:
     """Count, sum, largest instalment count and modal type per order; a large order goes by way of (order, type)."""
-    small, large = _by_size(payments)
+    small, large = (None, payments) if stored_by_order else _by_size(payments)
     per_type = large.groupBy("order_id", "payment_type").agg(
         F.count(F.lit(1)).alias("_n"), F.sum(S.money_units(F.col("payment_value"))).alias("_value"),
         F.max("payment_installments").alias("_max"))
     totals = per_type.groupBy("order_id").agg(
         F.sum("_n").alias("n_payments"), S.money(_total("_value")).alias("total_payment_value"),
         F.max("_max").alias("max_installments"), _most_frequent("payment_type", "_n").alias("payment_type_modal"))
+    if small is None:
+        return totals
     each = small.select("order_id", "payment_type", "payment_value", "payment_installments").repartition("order_id").withColumn(
         "_n", F.count(F.lit(1)).over(Window.partitionBy("order_id", "payment_type")))
     return each.groupBy("order_id").agg(
@@ -227,9 +235,10 @@ def build_order_features(
     """All 33 columns. Uses a stored ``split_orders`` table when given, else labels the split in place."""
     orders = order_date_features(tables["orders"]).join(
         tables["customers"].select("customer_id", "customer_state"), "customer_id", "left")
+    stored = isinstance(tables, ByOrder)
     joined = (
-        orders.join(item_aggregates(tables["order_items"], tables["products"], tables["sellers"]), "order_id", "left")
-        .join(payment_aggregates(tables["order_payments"]), "order_id", "left")
+        orders.join(item_aggregates(tables["order_items"], tables["products"], tables["sellers"], stored), "order_id", "left")
+        .join(payment_aggregates(tables["order_payments"], stored), "order_id", "left")
         .join(first_reviews(tables["order_reviews"]), "order_id", "left")
     )
     if "split_orders" in tables:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnish.operators.features import ByOrder
 from tarnish.session import scratch_path
 from tarnish.sources import adapter
 from tarnish.sources.freshness import input_state
@@ -49,4 +50,4 @@ def colocated_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         write_tables(adapter.canonical_tables(spark, sf_dir), "order_id", database, folder,
                      int(spark.conf.get("spark.sql.shuffle.partitions")))
         _STORED[key] = database, state
-    return {name: spark.table(f"{database}.{name}") for name in adapter.TABLES}
+    return ByOrder({name: spark.table(f"{database}.{name}") for name in adapter.TABLES})
