@@ -35,9 +35,10 @@ def with_range(df: DataFrame, value: str, cuts: list[float], out: str = "_range"
 
 
 def _with_known_size(small: DataFrame) -> DataFrame:
-    """The same rows as a local table when there are few, so that Spark knows their size and can broadcast them."""
+    """The same rows as a local table when there are few. Spark does not know the size of such a table, so it is marked to be
+    broadcast: else the large side is shuffled and sorted by keys of which one may hold a whole column."""
     rows = small.limit(LOCAL_ROWS + 1).collect()
-    return small if len(rows) > LOCAL_ROWS else small.sparkSession.createDataFrame(rows, small.schema)
+    return small if len(rows) > LOCAL_ROWS else F.broadcast(small.sparkSession.createDataFrame(rows, small.schema))
 
 
 def exact_quantiles(

@@ -36,6 +36,12 @@ def test_quantiles(spark, ways):
                 assert (k, p) not in got
 
 
+def test_the_ranges_of_a_quantile_meet_the_values_without_a_shuffle(spark):
+    df = spark.createDataFrame([(g, float(i % 900)) for i in range(9000) for g in "ab"], "k string, v double").repartition(4)
+    plan = exact_quantiles(df, ["k"], "v", [0.5])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
 @pytest.mark.parametrize("ways", [1, 3, 64])
 def test_auroc(spark, ways):
     r = random.Random(5)
