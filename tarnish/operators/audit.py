@@ -23,16 +23,22 @@ def audit(df: DataFrame, families: list[str], severity: float, seed: int, featur
     """One row per family: row count, columns, null cells and cells that differ from before.
 
     The values before travel beside the row under names no family touches, so before and
-    after meet without a join.
+    after meet without a join. A copied row has the cells of its row: these are counted before
+    rows are copied, so only keys, digests and counts move.
     """
     wide = df.selectExpr("*", *[f"`{c}` as `_b_{c}`" for c in features])
     reports = []
     for family in families:
-        out = C.apply(wide, family, severity, seed)
+        copies = family == "duplicate_rows"
+        out = wide if copies else C.apply(wide, family, severity, seed)
         kinds = {f.name: f.dataType for f in out.schema.fields}
         nulls = [f"int(`{c}` is null)" if c in kinds else "1" for c in features]
         changes = [f"int({_changed(c, kinds.get(c))})" for c in features]
-        per_row = out.selectExpr(f"{' + '.join(nulls)} as nulls", f"{' + '.join(changes)} as changed")
+        counts = [F.expr(" + ".join(nulls)).alias("nulls"), F.expr(" + ".join(changes)).alias("changed")]
+        if copies:
+            per_row = C.apply(wide.select(C.KEY, C.row_digest(wide).alias("_digest"), *counts), family, severity, seed, digest="_digest")
+        else:
+            per_row = out.select(*counts)
         reports.append(per_row.agg(
             F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum("nulls"), F.lit(0)).alias("null_cells"),
             F.coalesce(F.sum("changed"), F.lit(0)).alias("changed_cells"),

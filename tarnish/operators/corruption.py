@@ -214,18 +214,19 @@ def row_digest(df: DataFrame) -> Column:
     return F.concat_ws("-", F.hex(F.xxhash64(*cells)), F.hex(F.xxhash64(F.lit(1), *cells)))
 
 
-def duplicate_rows(df, severity, seed, key=KEY, copy_column: str | None = None):
+def duplicate_rows(df, severity, seed, key=KEY, copy_column: str | None = None, digest: str | None = None):
     """Appends exactly round(severity · n) rows drawn with replacement, on any frame.
 
     Only keys are numbered and drawn; the wide rows move once, to meet the drawn keys. Keys may repeat: rows are then
     told apart by a digest of their values, and equal rows, which no draw can tell apart, are numbered by their count.
-    ``copy_column`` names an optional column that is 0 for originals and tells copies apart.
+    ``copy_column`` names an optional column that is 0 for originals and tells copies apart. ``digest`` names a column that already
+    holds the digest, on a frame that has only some columns of its rows: the same rows are drawn as from the whole ones.
     """
     numbered = [F.lit(0).cast("bigint").alias(copy_column)] if copy_column else []
     originals = df.select("*", *numbered)
     if severity <= 0:
         return originals
-    digested = df.withColumn("_row", row_digest(df))
+    digested = df.withColumn("_row", F.col(digest) if digest else row_digest(df))
     distinct = digested.groupBy(key, "_row").agg(F.count(F.lit(1)).alias("_count"))
     index = dense_index(distinct, key, tie="_row", weight="_count")
     k = round_half_even(severity * index.n)

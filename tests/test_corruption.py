@@ -10,6 +10,7 @@ from conftest import rows
 from tarnish import fixed_values as fv
 from tarnish.functions import keyed_hash as K
 from tarnish.functions import scalars as S
+from tarnish.operators import audit
 from tarnish.operators import corruption as C
 
 FAMILIES = C.list_families()
@@ -163,6 +164,19 @@ def test_duplicate_rows_of_repeated_and_missing_keys(spark, features):
     assert 10 <= share <= 50
 
 
+def test_audit_of_copies_moves_counts_only(spark, monkeypatch):
+    data = [(i % 40 if i % 9 else None, None if i % 3 else float(i % 5), i % 2 or None, "x" * (i % 4) or None) for i in range(200)]
+    df = spark.createDataFrame(data, f"{C.KEY} bigint, total_price double, n_items int, customer_state string").repartition(5)
+    features = df.columns[1:]
+    copied = C.duplicate_rows(df.selectExpr("*", *[f"`{c}` as `_b_{c}`" for c in features]), 0.5, 42)
+    wanted = sum(v is None for r in copied.select(*features).collect() for v in r)
+    moved = []
+    monkeypatch.setitem(C.REGISTRY, "duplicate_rows", lambda d, *a, **o: moved.append(d.columns) or C.duplicate_rows(d, *a, **o))
+    got = audit.audit(df, ["duplicate_rows"], 0.5, 42, features).first()
+    assert tuple(got) == ("duplicate_rows", 300, 4, wanted, 0)
+    assert not {c for c in moved[0] if "price" in c or "state" in c}
+
+
 def test_label_noise_leaves_a_single_level_alone(spark):
     df = spark.createDataFrame([(i, "x") for i in range(20)], "order_id bigint, order_status string")
     assert {r[0] for r in C.apply(df, "label_noise_categorical", 1.0, 1).select("order_status").collect()} == {"x"}
