@@ -70,14 +70,16 @@ def score_prompts(prompts: DataFrame, keys: list[str], scorer: PromptScorer, ret
 def _stored_answers(prompts: DataFrame, keys: list[str], scorer: PromptScorer, retries: int, store: AnswerStore) -> DataFrame:
     spark, digest, calls = prompts.sparkSession, "prompt_sha256", []
     waiting = prompts.select(*keys, F.sha2("prompt", 256).alias(digest), "prompt")
+    # equal prompts are merged before the shuffle, so a prompt that many rows share is no hot key; they are made and merged once
+    # for all attempts, and a later attempt finds those it asks about by their digests
+    distinct = materialize(waiting.select(digest, "prompt").dropDuplicates([digest]), "distinct-prompts")
     for attempt in range(retries + 1):
-        # equal prompts are merged before the shuffle, so a prompt that many rows share is no hot key
-        fresh = waiting.select(digest, "prompt").dropDuplicates([digest]).join(
-            store.answers(spark, attempt).select(digest), digest, "left_anti")
+        fresh = distinct.join(store.answers(spark, attempt).select(digest), digest, "left_anti")
         store.append(call_records(_ask(fresh, scorer, attempt), store.task, store.mode, digest))
         known = store.answers(spark, attempt)  # read anew: what was there and what was just stored
         calls.append(waiting.drop("prompt").join(known, digest).drop(digest))
-        waiting = waiting.join(known.where(~F.col("ok")).select(digest), digest, "left_semi")
+        failed = known.where(~F.col("ok")).select(digest)
+        waiting, distinct = waiting.join(failed, digest, "left_semi"), distinct.join(failed, digest, "left_semi")
     return union_all(calls)
 
 

@@ -196,3 +196,18 @@ def test_a_scorer_is_handed_few_prompts_at_a_time(spark):
     calls = C.score_prompts(df, ["id", "at"], counted).collect()
     assert sorted(r["id"] for r in calls) == list(range(1, 1302)) and all(r["ok"] for r in calls)
     assert {int(r["rationale"]) for r in calls} == {500, 301}
+
+
+def test_prompts_asked_through_a_store_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def text(i):
+        made.add(1)
+        return "x" * (i % 50)
+
+    prompts = spark.range(100).select("id", F.udf(text, "string").asNondeterministic()("id").alias("prompt"))
+    store = stores.AnswerStore(str(tmp_path / "answers"), "stub", "t2")
+    C.score_prompts(prompts, ["id"], C.stub_scorer, store=store)
+    asked = {(r["attempt"], r["n"]) for r in store.calls(spark).groupBy("attempt").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert asked == {(0, 50), (1, 10)}
+    assert made.value == 100
