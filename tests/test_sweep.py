@@ -175,3 +175,8 @@ def test_tfidf_against_python(spark, top):
     model = TF.TfidfModel.fit(frame, "text", top, 2)
     vectors = {r["id"]: r["v"] for r in model.transform(frame, "v").collect()}
     assert {(i, model.words[j]): x for i, v in vectors.items() for j, x in zip(v.indices, v.values)} == pytest.approx(want)
+
+
+def test_texts_are_dealt_out_before_they_are_cut_into_terms(spark):
+    frame = spark.createDataFrame([("a b cc dd",)] * 5, "text string")
+    assert "RebalancePartitions" in TF.vocabulary(frame, "text", 10, 1)._jdf.queryExecution().analyzed().toString()
