@@ -180,3 +180,10 @@ def test_tfidf_against_python(spark, top):
 def test_texts_are_dealt_out_before_they_are_cut_into_terms(spark):
     frame = spark.createDataFrame([("a b cc dd",)] * 5, "text string")
     assert "RebalancePartitions" in TF.vocabulary(frame, "text", 10, 1)._jdf.queryExecution().analyzed().toString()
+
+
+def test_terms_are_shuffled_as_numbers(spark):
+    frame = spark.createDataFrame([(i % 3, "aa bb cc aa " * (i + 1)) for i in range(6)], "id int, text string")
+    plan = TF.tfidf(frame, ["id"], "text", 10, 1)._jdf.queryExecution().optimizedPlan().toString()
+    grouped = [line for line in plan.splitlines() if "Aggregate [" in line or "Window [" in line]
+    assert len(grouped) == 2 and not any("term" in line or "idf" in line.split("windowspec")[0].split("AS _w")[0] for line in grouped)
