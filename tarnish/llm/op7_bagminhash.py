@@ -7,10 +7,11 @@ the probability of the weighted Jaccard similarity. Points beyond the value that
 generated, which makes a signature cost little more than one point for each shingle.
 
 Texts with equal bags form a class. Classes meet in bands of registers; in each bucket they are compared to one hub, as a
-star; links found make groups; buckets that still hold several groups get other hubs; what is then left is compared in pairs of
-different groups only, without those that a bound rules out: the triangle inequality of the distance 1 - similarity, the sizes of
-the bags, and the shingles of each that no other text left holds, as they can't be shared. So no link that could join two groups
-is lost, a bucket of copies costs one comparison for each, and copies with too many edits of their own cost little.
+star; links found make groups; buckets that still hold several groups get other hubs. What is then left in a bucket is compared all
+with all, without texts that a bound rules out, the shingles that no other text left holds, as they can't be shared. This is done
+in blocks of two sides of texts: a text is sent once for each side, a block counts common shingles as a product of matrices and
+returns only links that join its texts. So no link that could join two groups is lost, a bucket of copies costs one comparison
+for each, and a bucket of texts that are alike but not enough costs a row for each text and side.
 
 Defined results: a row with a null id or without words is in no group and is kept; its class_id and group_id are its own id.
 Rows that repeat an id with an equal text share one verdict. Group ids are the least doc_id.
@@ -35,6 +36,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 REGISTERS, ROWS = 168, 6
 #: Members of a star that one sorted run of rows compares to their hub, and the number of rounds of stars.
 STAR, ROUNDS = 200, 3
+#: Texts and shingles of a side of a block of what the stars left, and elements that are multiplied at once.
+SIDE, SIDE_SHINGLES, COLUMNS = 512, 1 << 20, 4096
 #: Hash slots of shingles, and shares of them that one task counts.
 SLOTS, SHARES = 1 << 24, 256
 
@@ -166,6 +169,111 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(rows.mapInArrow(_stars, "a bigint, b bigint, similarity double"), "near_similarities")
 
 
+def _elements(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The shingles of a bag, each as often as it counts: two bags share as many elements as the sum of their lesser counts."""
+    shingles, counts = bag
+    nth = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    return mix(np.repeat(shingles, counts) + mix(nth.astype(np.uint64)))
+
+
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common elements of each text of x and each of y, as products of 0/1 matrices over elements that both sides hold."""
+    one, other = (np.concatenate([np.zeros(0, np.uint64), *side]) for side in (x, y))
+    of_one, of_other = (np.repeat(np.arange(len(side)), [len(e) for e in side]) for side in (x, y))
+    if x is y:
+        held, times = np.unique(one, return_counts=True)
+        both = held[times > 1]
+    else:
+        both = np.intersect1d(one, other)
+    found = np.zeros((len(x), len(y)))
+    if not len(both):
+        return found
+    found_at = []
+    for elements, of in ((one, of_one), (other, of_other)):
+        at = np.minimum(np.searchsorted(both, elements), len(both) - 1)
+        known = both[at] == elements
+        order = np.argsort(at[known], kind="stable")
+        found_at.append((at[known][order], of[known][order]))
+    for first in range(0, len(both), COLUMNS):
+        width, made = min(COLUMNS, len(both) - first), []
+        for (at, of), side in zip(found_at, (x, y)):
+            lo, hi = np.searchsorted(at, (first, first + width))
+            held = np.zeros((len(side), width), np.float32)
+            held[of[lo:hi], at[lo:hi] - first] = 1
+            made.append(held)
+        found += made[0] @ made[1].T
+    if x is y:
+        np.fill_diagonal(found, [len(e) for e in x])
+    return found
+
+
+def _tree(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join all that the symmetric matrix joins; one less than the texts of each component."""
+    out, todo = [], linked.any(1)
+    while todo.any():
+        first = int(np.argmax(todo))
+        todo[first], reached = False, [first]
+        while reached:
+            at = reached.pop()
+            new = np.flatnonzero(linked[at] & todo)
+            todo[new] = False
+            out += [(at, int(n)) for n in new]
+            reached += new.tolist()
+    return out
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block in; (a, b, similarity) of links between components out, as many as join what all such links join."""
+    def emit(lo: int, hi: int, rows: list[tuple]) -> pa.RecordBatch:
+        ids = [r[0] for r in rows]
+        side = np.array([r[1] for r in rows])
+        component = np.array([r[2] for r in rows])
+        one = [r[3] for r in rows if r[1] == lo]
+        other = one if lo == hi else [r[3] for r in rows if r[1] == hi]
+        shared = overlaps(one, other)
+        sizes = np.array([len(r[3]) for r in rows])
+        like = np.zeros((len(rows), len(rows)))
+        in_one, in_other = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+        like[np.ix_(in_one, in_other)] = shared / (sizes[in_one][:, None] + sizes[in_other] - shared)
+        like = np.maximum(like, like.T)
+        links = _tree((like >= SIMILARITY) & (component[:, None] != component))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([max(ids[i], ids[j]) for i, j in links], pa.int64()), pa.array([min(ids[i], ids[j]) for i, j in links], pa.int64()),
+             pa.array([like[i, j] for i, j in links], pa.float64())], names=["a", "b", "similarity"])
+
+    block, held = None, []
+    for batch in batches:
+        for part in chunks(batch):
+            shingles, counts, offsets = bags(part.column("text"))
+            keys = zip(*(part.column(c).to_pylist() for c in ("band", "bh", "lo", "hi")))
+            rows = zip(*(part.column(c).to_pylist() for c in ("cid", "side", "component")))
+            for i, (key, row) in enumerate(zip(keys, rows)):
+                if key != block:
+                    if held:
+                        yield emit(*block[2:], held)
+                    block, held = key, []
+                held.append((*row, _elements((shingles[offsets[i]: offsets[i + 1]], counts[offsets[i]: offsets[i + 1]]))))
+    if held:
+        yield emit(*block[2:], held)
+
+
+def compared_in_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, similarity) of links that join the components of the members (band, bh, cid, component, total) of each bucket as all
+    links within the bucket do, stored.
+
+    A bucket is cut into sides of about SIDE texts, fewer if they are long, and a block compares two sides, or one with itself. So a
+    text is sent once for each side of its bucket, not once for each other text.
+    """
+    sides = members.groupBy("band", "bh").agg(F.count(F.lit(1)).alias("n"), F.sum("total").alias("shingles")).where("n > 1").selectExpr(
+        "band", "bh", f"cast(least(n, greatest(ceil(n / {SIDE}), ceil(shingles / {SIDE_SHINGLES}))) as int) sides")
+    dealt = members.join(sides, ["band", "bh"]).selectExpr("band", "bh", "cid", "component", "sides", "cast(pmod(xxhash64(cid, 7), sides) as int) side")
+    dealt = dealt.withColumn("other", F.expr("explode(sequence(0, sides - 1))")).selectExpr(
+        "band", "bh", "least(side, other) lo", "greatest(side, other) hi", "side", "cid", "component")
+    dealt = materialize(dealt, "near_blocks")
+    rows = dealt.join(texts, "cid").repartition("band", "bh", "lo", "hi").sortWithinPartitions("band", "bh", "lo", "hi", "side", "cid")
+    return materialize(rows.mapInArrow(_block_links, "a bigint, b bigint, similarity double"), "near_block_links")
+
+
 def _slots(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
 
@@ -243,13 +351,10 @@ def groups(docs: DataFrame) -> DataFrame:
     texts = materialize(texts.dropDuplicates(["cid"]), "near_texts")
 
     near = lambda a, b: f"{SIMILARITY} * greatest({a}, {b}) <= least({a}, {b}) + 1e-6"  # noqa: E731  bags of other sizes can't link
-    seen = compared(buckets.where(f"cid <> hub and {near('total', 'hub_total')}").selectExpr("cid a", "hub b").distinct(), texts)
-    measured = [seen]
-    to_hub = buckets.join(seen.withColumnsRenamed({"a": "cid", "b": "hub"}), ["cid", "hub"], "left").withColumn(
-        "similarity", F.expr("if(cid = hub, 1.0D, similarity)"))  # null where the sizes ruled the hub out
+    measured = [compared(buckets.where(f"cid <> hub and {near('total', 'hub_total')}").selectExpr("cid a", "hub b").distinct(), texts)]
     for step in range(1, ROUNDS + 1):
         labels = components(_links(measured))
-        labelled = materialize(to_hub.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn(
+        labelled = materialize(buckets.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn(
             "component", F.coalesce("component", "cid")), "near_labelled")
         split = labelled.groupBy("band", "bh").agg(
             F.min("component").alias("lo"), F.max("component").alias("hi"),
@@ -257,16 +362,13 @@ def groups(docs: DataFrame) -> DataFrame:
         open_ = labelled.join(split.selectExpr("band", "bh", "next.cid b", "next.component bc", "next.total bt"), ["band", "bh"])
         if step < ROUNDS:
             pairs = open_.where(f"component <> bc and {near('total', 'bt')}").selectExpr("cid a", "b")
+            measured.append(compared(pairs.distinct(), texts))
         else:
             left = open_.select("cid").distinct()
-            open_ = open_.drop("bc").join(common_counts(texts.join(left, "cid", "left_semi")), "cid").where(
-                f"common >= {SIMILARITY} * total")
-            x = open_.selectExpr("band", "bh", "cid a", "component ac", "similarity sa", "total at", "common am")
-            y = open_.selectExpr("band", "bh", "cid b", "component bc", "similarity sb", "total bt", "common bm")
-            pairs = x.join(y, ["band", "bh"]).where(
-                f"ac <> bc and a < b and {near('at', 'bt')} and coalesce(abs(sa - sb) <= {1 - SIMILARITY} + 1e-9, true)"
-                f" and least(am, bm) >= {SIMILARITY} * (at + bt - least(am, bm))").select("a", "b")
-        measured.append(compared(pairs.distinct(), texts))
+            open_ = materialize(open_.join(common_counts(texts.join(left, "cid", "left_semi")), "cid").where(
+                f"common >= {SIMILARITY} * total").select("band", "bh", "cid", "component", "total"), "near_left")
+            split = open_.groupBy("band", "bh").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+            measured.append(compared_in_blocks(open_.join(split, ["band", "bh"], "left_semi"), texts))
     labels = components(_links(measured))
     found = classes.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn(
         "component", F.coalesce("component", "cid")).select("cid", "class_id", "component")

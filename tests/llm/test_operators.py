@@ -414,3 +414,53 @@ def test_pipeline_runs(spark):
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert len(corpus_pipeline.STAGES) == 5 and 0 < out.count() <= 200 and "mix_position" in out.columns
+
+
+def test_near_copies_of_one_text_are_not_paired(spark, monkeypatch):
+    """Copies with edits of their own, most at 0.6 of each other and some linked: rows grow with the copies, links stay those of all pairs."""
+    importable(spark)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(160)]
+    out = []
+    for i in range(200):
+        words = [w for w in base if rng.random() > 0.03] + [f"own{i}"]
+        out.append(" ".join(words))
+        if i % 10 == 0:
+            out.append(" ".join([*words[:-3], "last", str(i)]))
+    made = []
+    real = op7_bagminhash.materialize
+
+    def counted(df, name, path=None):
+        found = real(df, name, path)
+        made.append((name, found.count()))
+        return found
+
+    monkeypatch.setattr(op7_bagminhash, "materialize", counted)
+    rows = spark.createDataFrame(list(enumerate(out)), "doc_id bigint, text string").repartition(4)
+    got = by_id(op7_bagminhash.groups(rows), "group_id")
+    bags = [{tuple(w[j:j + 5]) for j in range(len(w) - 4)} for w in map(str.split, out)]
+    group = list(range(len(out)))
+    for i in range(len(out)):
+        for j in range(i):
+            if len(bags[i] & bags[j]) >= 0.8 * len(bags[i] | bags[j]):
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    assert {i: (g,) for i, g in enumerate(group)} == got and 100 < len(set(group)) < 200
+    buckets = max(n for name, n in made if name == "near_buckets")
+    assert max(n for name, n in made if name != "near_buckets") <= buckets, made
+
+
+def test_overlaps_of_bags_are_sums_of_lesser_counts():
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("ab") for _ in range(rng.randrange(1, 60))) for _ in range(12)]
+    shingles, counts, offsets = op7_bagminhash.bags(pa.array(texts))
+    bags = [(shingles[a:b], counts[a:b]) for a, b in zip(offsets, offsets[1:])]
+    held = [op7_bagminhash._elements(b) for b in bags]
+    for one, other in ((held, held), (held[:5], held[5:])):
+        shared = op7_bagminhash.overlaps(one, other)
+        for i, x in enumerate(one):
+            for j, y in enumerate(other):
+                b = bags[j] if other is held else bags[5 + j]
+                like = op7_bagminhash.similarity(bags[i], b)
+                assert abs(shared[i, j] / (len(x) + len(y) - shared[i, j]) - like) < 1e-12
