@@ -27,43 +27,59 @@ from tarnish.llm.repeats import Kind, marks, merged, with_marks
 LENGTH, GRAM = 200, 32
 
 
-def suffix_order(text: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """The suffix array of symbols under 65,536 and the ranks of all substrings of 4, 8, 16 … symbols."""
+def suffix_order(text: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, np.ndarray]]]:
+    """The suffix array, and levels of (width, times, rank): the ranks of all substrings of that width, where the next level's width is
+    one more than ``times`` of them. As many symbols or ranks as fit 64 bits are sorted at once, and from then on only suffixes
+    that are still tied; a rank is the first row of those that tie."""
     n = len(text)
-    wide = np.zeros(n + 3, np.uint64)
+
+    def starts(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each sorted key the first of its equals, and whether it has others."""
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1], [True]])
+        return np.maximum.accumulate(np.where(new[:-1], np.arange(len(ordered)), 0)), ~(new[:-1] & new[1:])
+
+    bits = max(1, int(text.max()).bit_length())
+    width = min(64 // bits, 8)
+    wide = np.zeros(n + width, np.uint64)
     wide[:n] = text
-    key = wide[:n] << np.uint64(48) | wide[1: n + 1] << np.uint64(32) | wide[2: n + 2] << np.uint64(16) | wide[3: n + 3]
-    width, levels = 4, []
+    key = wide[:n]
+    for j in range(1, width):
+        key = key << np.uint64(bits) | wide[j: n + j]
+    order = np.argsort(key)
+    first, tied = starts(key[order])
+    rank = np.empty(n, np.int64)
+    rank[order] = first
+    rows = np.flatnonzero(tied)
+    bits, levels = np.uint64(n.bit_length()), []
+    times = max(2, min(64 // int(bits), 4))
     while True:
-        order = np.argsort(key)
-        ordered = key[order]
-        rank_of = np.zeros(n, np.int64)
-        rank_of[1:] = np.cumsum(ordered[1:] != ordered[:-1])
-        rank = np.empty(n, np.int64)
-        rank[order] = rank_of
-        levels.append((width, rank.astype(np.int32)))
-        if rank_of[-1] == n - 1:
+        levels.append((width, times - 1, rank.astype(np.int32)))
+        if not len(rows):
             return order, levels
-        after = np.zeros(n, np.int64)
-        if width < n:
-            after[: n - width] = rank[width:] + 1
-        key = (rank << 32 | after).astype(np.uint64)
-        width *= 2
-
-
-def common_prefix(levels: list[tuple[int, np.ndarray]], text: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        at = order[rows]
+        key = rank[at].astype(np.uint64)
+        for j in range(1, times):
+            after = at + j * width
+            key = key << bits | np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0).astype(np.uint64)
+        sort = np.argsort(key)
+        at = at[sort]
+        order[rows] = at
+        first, tied = starts(key[sort])
+        rank[at] = rows[first]
+        rows = rows[tied]
+        width *= times
+
+
+def common_prefix(levels: list[tuple[int, int, np.ndarray]], text: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Length of the longest common prefix of the suffixes x and y."""
     n = len(text)
     x, y, total = x.copy(), y.copy(), np.zeros(len(x), np.int64)
-    for width, rank in reversed(levels):
-        ok = (x < n) & (y < n)
-        same = ok & (rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)])
-        step = same * width
-        total, x, y = total + step, x + step, y + step
-    for _ in range(3):
-        ok = (x < n) & (y < n)
-        same = ok & (text[np.minimum(x, n - 1)] == text[np.minimum(y, n - 1)])
-        total, x, y = total + same, x + same, y + same
+    for width, times, values in [*reversed(levels), (1, levels[0][0] - 1, text)]:
+        for _ in range(times):
+            ok = (x < n) & (y < n)
+            same = ok & (values[np.minimum(x, n - 1)] == values[np.minimum(y, n - 1)])
+            step = same * width
+            total, x, y = total + step, x + step, y + step
     return total
 
 

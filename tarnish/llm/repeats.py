@@ -32,7 +32,7 @@ HOT = 500
 #: Nodes that the windows of a hot block are cut into.
 NODES = 7
 #: Bytes of blocks that are compared together.
-BATCH_BYTES = 1_500_000
+BATCH_BYTES = 400_000
 
 
 @dataclass(frozen=True)

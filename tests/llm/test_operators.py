@@ -464,3 +464,24 @@ def test_overlaps_of_bags_are_sums_of_lesser_counts():
                 b = bags[j] if other is held else bags[5 + j]
                 like = op7_bagminhash.similarity(bags[i], b)
                 assert abs(shared[i, j] / (len(x) + len(y) - shared[i, j]) - like) < 1e-12
+
+
+def test_suffixes_that_are_settled_are_not_sorted_again(monkeypatch):
+    rng = np.random.default_rng(6)
+    text = rng.integers(0, 256, 20_000)
+    text[15_000:15_400] = text[2_000:2_400]
+    text[12_000], text[-1] = 256, 257
+    sorted_, real = [], np.argsort
+    monkeypatch.setattr(op8_suffix_dedup.np, "argsort", lambda x, *a, **k: sorted_.append(len(x)) or real(x, *a, **k))
+    found = op8_suffix_dedup.matching_statistics(text)
+    assert sum(sorted_) < 2 * len(text), sorted_
+
+    def elsewhere(at, n):
+        same = np.ones(len(text) - n + 1, bool)
+        for j in range(n):
+            same &= text[j: len(text) - n + 1 + j] == text[at + j]
+        return same.sum() > 1
+
+    for at in [*rng.integers(0, len(text), 60).tolist(), 2_000, 2_100, 2_399, 15_000, 15_399]:
+        n = int(found[at])
+        assert elsewhere(at, n) and (at + n >= len(text) or not elsewhere(at, n + 1)), at
