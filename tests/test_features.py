@@ -122,3 +122,19 @@ def test_items_are_shuffled_once_a_side(spark):
     small, _ = X._by_size(items)
     plan = X.payment_aggregates(items)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [order_id" in plan and small.columns == items.columns
+
+
+def test_items_of_an_order_are_sorted_once_for_each_side(spark, monkeypatch):
+    monkeypatch.setattr(X, "_by_size", lambda rows: (rows, rows.limit(0)))
+    items = spark.createDataFrame([(o, f"p{i % 3}", f"s{i % 4}", 1.0 * i, 0.5) for o in range(9) for i in range(o)] + [(9, None, None, None, None)],
+                                  "order_id bigint, product_id string, seller_id string, price double, freight_value double").cache()
+    products = spark.createDataFrame([("p0", "x", 5, 8), ("p0", "y", 5, 8), ("p1", None, None, 2)],
+                                     "product_id string, product_category_name string, product_weight_g bigint, product_volume_cm3 bigint")
+    monkeypatch.setattr(X, "_product_dimensions", lambda dims: dims)
+    sellers = spark.createDataFrame([("s0", "SP"), ("s1", "SP"), ("s1", "RJ"), ("s2", None)], "seller_id string, seller_state string")
+    for small, large in ((X._small_product_side(items, products), X._product_side(items, products)),
+                         (X._small_seller_side(items, sellers), X._seller_side(items, sellers))):
+        assert rows(small, "order_id") == rows(large.select(*small.columns), "order_id")
+        plan = small._jdf.queryExecution().executedPlan().toString()
+        order = [line for line in plan.splitlines() if "Sort [order_id" in line]
+        assert len(order) == 1 and "HashAggregate(keys=[order_id" not in plan.replace("`", ""), plan
