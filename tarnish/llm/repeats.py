@@ -7,9 +7,10 @@
 2. Anchors that stand once drop out after an aggregation with map-side combine. If all blocks of an anchor are equal, all their
    windows are repeated. Only anchors with unequal blocks need the symbols: one copy of each distinct block is
    cut from its text and handed to ``compare``, which gets whole anchor groups in bounded batches.
-3. Groups of more than ``HOT`` distinct blocks are never gathered. Their windows are counted by hash instead, but first in
-   nodes of neighbouring windows: what all windows of a node hold rules the node out if it stands once, and settles it if all that
-   they reach stands twice. So few of a block's windows are counted one by one.
+3. Groups of more than ``HOT`` distinct blocks are never gathered whole. Their blocks are cut into nodes of neighbouring windows: what
+   all windows of a node hold rules the node out if it stands once, and settles it if all that they reach stands twice. What is left
+   of a block's nodes are slices, which meet again by what their windows hold in common, as by a longer anchor, and are compared so.
+   Where more than ``HOT`` slices share that, they are cut into smaller nodes in turn, down to nodes of one window.
 
 Marks go by the key of the text, so repeated rows and null ids need no care: equal texts have equal marks.
 """
@@ -29,8 +30,8 @@ from tarnish.session import materialize
 
 #: Distinct blocks of one anchor up to which they are compared within one task.
 HOT = 500
-#: Nodes that the windows of a hot block are cut into.
-NODES = 7
+#: Nodes that the windows of a hot block are cut into, and parts that a node is cut into in turn.
+NODES, PARTS = 7, 4
 #: Bytes of blocks that are compared together.
 BATCH_BYTES = 400_000
 
@@ -123,13 +124,13 @@ def _runs(flags: np.ndarray) -> list[list[int]]:
 
 
 def _compared(kind: Kind):
-    """Rows sorted by anchor in, (h, bh, first, last) of repeated windows out."""
+    """Rows sorted by ``g``, what they are compared by, in; (h, bh, first, last) of repeated windows out."""
     def emit(rows: list[tuple]) -> pa.RecordBatch:
         out: list[list] = [[], [], [], []]
         groups = np.array([r[0] for r in rows], np.int64)
-        for row, flags in zip(rows, kind.compare([r[3] for r in rows], groups, [r[2] for r in rows])):
+        for row, flags in zip(rows, kind.compare([r[5] for r in rows], groups, [r[4] for r in rows])):
             for first, last in _runs(flags):
-                for o, v in zip(out, (row[0], row[1], first, last)):
+                for o, v in zip(out, (row[1], row[2], row[3] + first, row[3] + last)):
                     o.append(v)
         return pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["h", "bh", "first", "last"])
 
@@ -137,71 +138,94 @@ def _compared(kind: Kind):
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("h", "bh", "shift", "block"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("g", "h", "bh", "first", "shift", "block"))):
                 if size > BATCH_BYTES and row[0] != held[-1][0]:
                     yield emit(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[5])
         if held:
             yield emit(held)
     return run
 
 
-def _nodes(kind: Kind, shift: int, count: int) -> list[tuple[int, int, int]]:
+def _node_sizes(kind: Kind) -> list[int]:
+    """Windows of a node, level by level; the nodes of a level divide those of the level before."""
+    sizes = [max(1, (kind.length - kind.k + 1) // NODES)]
+    while sizes[-1] > 1:
+        sizes.append(sizes[-1] // PARTS if sizes[-1] % PARTS == 0 else 1)
+    return sizes
+
+
+def _nodes(size: int, shift: int, count: int) -> list[tuple[int, int, int]]:
     """(node, lo, hi): the intervals of offsets before the anchor that a block's windows fall in; equal ones for all blocks."""
-    size = max(1, (kind.length - kind.k + 1) // NODES)
     return [(n, n * size, n * size + size - 1) for n in range((shift - count + 1) // size, shift // size + 1)]
 
 
-def _node_rows(kind: Kind):
-    """(h, bh, node, wh) of hot blocks: for each node the hash of what all its windows hold, as 2 · node, and of all that they
-    reach, as 2 · node + 1, if the block has them all."""
+def _node_rows(kind: Kind, size: int):
+    """(h, bh, first, node, wh) of hot blocks or slices: for each node the hash of what all its windows hold, as 2 · node, and of all
+    that they reach, as 2 · node + 1, if the block has them all; for a node of one window, which are the same, only the latter."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for h, bh, shift, block in zip(*(batch.column(c).to_pylist() for c in ("h", "bh", "shift", "block"))):
+            out: list[list] = [[], [], [], [], []]
+            for h, bh, at, shift, block in zip(*(batch.column(c).to_pylist() for c in ("h", "bh", "first", "shift", "block"))):
                 values = kind.of(block)
                 count = len(values) - kind.length + 1
                 found = []
-                for node, lo, hi in _nodes(kind, shift, count):
-                    found.append((2 * node, shift - lo, shift + kind.length - hi))
+                for node, lo, hi in _nodes(size, shift, count):
+                    if size > 1:
+                        found.append((2 * node, shift - lo, shift + kind.length - hi))
                     if hi <= shift and lo > shift - count:
                         found.append((2 * node + 1, shift - hi, shift + kind.length - lo))
                 of, a, b = np.array(found).T
                 wh = mix(range_hashes(prefix_hashes(values), a, b) ^ mix(of.astype(np.uint64)))
-                for o, v in zip(out, ([h] * len(of), [bh] * len(of), of.tolist(), signed(wh).tolist())):
+                for o, v in zip(out, ([h] * len(of), [bh] * len(of), [at] * len(of), of.tolist(), signed(wh).tolist())):
                     o.extend(v)
-            yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["h", "bh", "node", "wh"])
+            yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["h", "bh", "first", "node", "wh"])
     return run
 
 
-def _window_rows(kind: Kind):
-    """(h, bh, first, last, wh) of hot blocks with the list of their shared nodes: ranges of windows that are repeated (wh null), and
-    each window that may be, with its hash. Of the blocks that settle a node together, one, the lead, shows its windows to others."""
+def _slice_rows(kind: Kind, size: int):
+    """(h, bh, first, last, g, shift, block) of hot blocks or slices with the list of their shared nodes: ranges of windows that are
+    repeated (g null), and the slices of nodes that may be in part, with the hash of what their windows hold in common. Of the
+    blocks that settle a node together, one, the lead, shows its slice to others, if there are any."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for h, bh, shift, block, shared in zip(*(batch.column(c).to_pylist() for c in ("h", "bh", "shift", "block", "nodes"))):
-                values, lead = kind.of(block), {x["node"] // 2 for x in shared if x["lead"] and x["node"] & 1}
-                shared = {x["node"] for x in shared}
-                count = len(values) - kind.length + 1
-                maybe = []
-                for node, lo, hi in _nodes(kind, shift, count):
+            out: list[list] = [[], [], [], [], [], [], []]
+            for h, bh, at, shift, block, shared in zip(*(batch.column(c).to_pylist() for c in ("h", "bh", "first", "shift", "block", "nodes"))):
+                shared = {x["node"]: x for x in shared}
+                count = len(kind.of(block)) - kind.length + 1
+                settled, open_ = np.zeros(count, bool), []
+                for node, lo, hi in _nodes(size, shift, count):
                     first, last = max(0, shift - hi), min(count - 1, shift - lo)
-                    if 2 * node + 1 in shared:
-                        for o, v in zip(out, (h, bh, first, last, None)):
-                            o.append(v)
-                    if 2 * node in shared and (2 * node + 1 not in shared or node in lead):
-                        maybe.extend(range(first, last + 1))
-                at = np.array(maybe, np.int64)
-                wh = mix(range_hashes(prefix_hashes(values), at, at + kind.length) ^ mix((shift - at).astype(np.uint64)))
-                for o, v in zip(out, ([h] * len(at), [bh] * len(at), maybe, maybe, signed(wh).tolist())):
-                    o.extend(v)
-            yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["h", "bh", "first", "last", "wh"])
+                    held, reached = shared.get(2 * node), shared.get(2 * node + 1)
+                    if reached:
+                        settled[first: last + 1] = True
+                    if held and (not reached or reached["lead"] and reached["n"] < held["n"]):
+                        open_.append((first, last, held["wh"]))
+                rows = [(h, bh, at + first, at + last, None, None, None) for first, last in _runs(settled)]
+                slices = kind.cut(block, [first for first, _, _ in open_], [last + kind.length for _, last, _ in open_])
+                rows += [(h, bh, at + first, at + last, g, shift - first, part) for (first, last, g), part in zip(open_, slices)]
+                for row in rows:
+                    for o, v in zip(out, row):
+                        o.append(v)
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array(o, pa.int64()) for o in out[:5]], pa.array(out[5], pa.int32()), pa.array(out[6], pa.binary())],
+                names=["h", "bh", "first", "last", "g", "shift", "block"])
     return run
 
 
+def _sliced(hot: DataFrame, kind: Kind, size: int) -> DataFrame:
+    """The ranges and slices of hot blocks or slices at nodes of ``size`` windows, stored."""
+    key = ["h", "bh", "first"]
+    nodes = materialize(hot.mapInArrow(_node_rows(kind, size), "h bigint, bh bigint, first bigint, node bigint, wh bigint"), "repeat_nodes")
+    shared = nodes.groupBy("h", "node", "wh").agg(F.count(F.lit(1)).alias("n"), F.min("bh").alias("lead")).where("n > 1")
+    shown = nodes.join(shared, ["h", "node", "wh"]).groupBy(*key).agg(
+        F.collect_list(F.expr("struct(node, wh, n, bh = lead as lead)")).alias("nodes"))
+    return materialize(hot.join(shown, key).mapInArrow(
+        _slice_rows(kind, size), "h bigint, bh bigint, first bigint, last bigint, g bigint, shift int, block binary"), "repeat_slices")
+
+
 def marks(docs: DataFrame, kind: Kind) -> DataFrame:
     """(tk, ranges): for each text with repeated windows, the ranges [start, stop) of symbols they cover, unmerged."""
     texts = own(docs, "doc_id", "text").selectExpr("doc_id", "text", f"{text_key()} tk")
@@ -222,18 +246,20 @@ def marks(docs: DataFrame, kind: Kind) -> DataFrame:
         _cut_rows(kind), "h bigint, bh bigint, shift int, hot boolean, block binary").dropDuplicates(["h", "bh"])
     cut = materialize(cut, "repeat_cuts")
 
-    ranges = "h bigint, bh bigint, first bigint, last bigint"
-    compared = cut.where("not hot").drop("hot").repartition("h").sortWithinPartitions("h").mapInArrow(_compared(kind), ranges)
-    hot = cut.where("hot").drop("hot")
-    nodes = materialize(hot.mapInArrow(_node_rows(kind), "h bigint, bh bigint, node bigint, wh bigint"), "repeat_nodes")
-    shared = nodes.groupBy("h", "node", "wh").agg(F.count(F.lit(1)).alias("n"), F.min("bh").alias("lead")).where("n > 1")
-    open_ = nodes.join(shared, ["h", "node", "wh"]).groupBy("h", "bh").agg(
-        F.collect_list(F.expr("struct(node, bh = lead as lead)")).alias("nodes"))
-    windows = materialize(hot.join(open_, ["h", "bh"]).mapInArrow(_window_rows(kind), f"{ranges}, wh bigint"), "repeat_windows")
-    shared = windows.where("wh is not null").groupBy("h", "wh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    by_window = windows.where("wh is not null").join(shared, ["h", "wh"]).select("h", "bh", "first", "last").unionByName(
-        windows.where("wh is null").drop("wh"))
-    partly = compared.unionByName(by_window).groupBy("h", "bh").agg(F.collect_list(F.struct("first", "last")).alias("parts"))
+    own_group = cut.selectExpr("hot", "h g", "h", "bh", "0L first", "shift", "block")
+    some, hot = own_group.where("not hot").drop("hot"), own_group.where("hot").drop("hot")
+    settled = []
+    for size in _node_sizes(kind):
+        found = _sliced(hot, kind, size)
+        settled.append(found.where("g is null").select("h", "bh", "first", "last"))
+        slices = found.where("g is not null").select(*some.columns)
+        large = slices.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(f"n > {HOT}").select("g")
+        some, hot = some.unionByName(slices.join(large, "g", "left_anti")), slices.join(large, "g", "left_semi")
+    # nodes of one window leave no slices
+    compared = some.repartition("g").sortWithinPartitions("g").mapInArrow(_compared(kind), "h bigint, bh bigint, first bigint, last bigint")
+    for ranges in settled:
+        compared = compared.unionByName(ranges)
+    partly = compared.groupBy("h", "bh").agg(F.collect_list(F.struct("first", "last")).alias("parts"))
 
     length = kind.length
     place, count = "shiftright(loc, 16)", "(shiftright(loc, 8) & 255)"

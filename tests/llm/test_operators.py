@@ -81,6 +81,29 @@ def test_repeated_bytes_and_words(docs, hot, monkeypatch):
     assert by_id(op9_substring_dedup.digests(docs), "n_words", "n_removed", "kept_sha256") == want
 
 
+@pytest.mark.parametrize("op, symbols, length", [(op8_suffix_dedup, lambda t: list(t.encode()), 200), (op9_substring_dedup, WORD.findall, 35)])
+def test_near_copies_of_one_passage_leave_few_rows(spark, op, symbols, length, monkeypatch):
+    importable(spark)
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10_000):04}" for _ in range(75)]
+    texts = [" ".join(w if rng.random() < 0.97 else f"x{rng.randrange(10_000):04}" for w in base) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    stored, write = {}, repeats.materialize
+
+    def counted(df, name, path=None):
+        out = write(df, name, path)
+        stored.setdefault(name, []).append(out.where("hot").count() if name == "repeat_cuts" else out.count())
+        return out
+
+    monkeypatch.setattr(repeats, "HOT", 40)
+    monkeypatch.setattr(repeats, "materialize", counted)
+    flags = covered([symbols(t) for t in texts], length)
+    assert by_id(op.digests(docs), "n_removed") == {i: (sum(f),) for i, f in enumerate(flags)}
+    blocks = stored["repeat_cuts"][0]
+    # beyond their nodes, what is still open of a hot block takes a few rows, not one for each of its windows
+    assert blocks > 400 and sum(sum(n) for name, n in stored.items() if name in ("repeat_slices", "repeat_windows")) < 5 * blocks, (blocks, stored)
+
+
 def test_removed_keeps_rows_and_columns(docs):
     out = op8_suffix_dedup.removed(docs)
     assert out.schema == docs.schema and out.count() == docs.count()
