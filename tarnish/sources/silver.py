@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnish.operators.features import build_order_features, feature_table_columns
-from tarnish.session import scratch_path
+from tarnish.session import scratch_path, shuffles_removed
 from tarnish.sources import adapter
 from tarnish.sources.freshness import input_state
 
@@ -15,7 +15,8 @@ _STORED: dict[tuple[str, str], tuple[str, str]] = {}
 
 def write_silver(features: DataFrame, path: str) -> None:
     """Stored by split, so jobs on one split read only its files."""
-    features.select(*feature_table_columns()).write.mode("overwrite").partitionBy("split").parquet(path)
+    with shuffles_removed(features.sparkSession):
+        features.select(*feature_table_columns()).write.mode("overwrite").partitionBy("split").parquet(path)
 
 
 def read_silver(spark: SparkSession, path: str) -> DataFrame:

@@ -1,13 +1,15 @@
 """Stored tables: built again when an input changes; bronze in buckets of the key needs no shuffle by it."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from conftest import SF, rows
-from tarnish.operators.features import build_order_features
-from tarnish.session import scratch_path
+from tarnish.operators.features import build_order_features, feature_table_columns
+from tarnish.session import materialize, scratch_path
 from tarnish.sources import adapter, colocated
 from tarnish.sources.freshness import input_state
-from tarnish.sources.silver import silver, silver_path
+from tarnish.sources.silver import read_silver, silver, silver_path, write_silver
 
 
 def test_input_state_sees_files_not_their_order(spark):
@@ -53,3 +55,28 @@ def test_a_hot_bucket_is_not_stored_in_buckets(spark):
     out = colocated.write_tables({"hot": hot}, "k", database, folder, 8)["hot"]
     assert rows(out, "id") == rows(hot, "id")
     assert "bucket" not in spark.sql(f"SHOW CREATE TABLE {database}.hot").first()[0].lower()
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {f for f in files.split("\n") if "/shuffle_" in f}
+
+
+def left_over(spark, made):
+    """Shuffle files that a job leaves; Spark removes them beside the next jobs, so they get some seconds."""
+    before = shuffle_files(spark)
+    result = made()
+    for _ in range(50):
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.2)
+    return result, left
+
+
+def test_stored_tables_leave_no_shuffle_files(spark, tmp_path):
+    rows = spark.range(1000).select((F.col("id") % 7).alias("k")).groupBy("k").count()
+    stored, left = left_over(spark, lambda: materialize(rows, "counts"))
+    assert not left and sorted(r["count"] for r in stored.collect()) == [142, 143, 143, 143, 143, 143, 143]
+    columns = [F.first("k").cast("string").alias(c) if c != "split" else F.lit("test").alias(c) for c in feature_table_columns()]
+    _, left = left_over(spark, lambda: write_silver(rows.groupBy("count").agg(*columns), str(tmp_path / "silver")))
+    assert not left and read_silver(spark, str(tmp_path / "silver")).count() == 2
