@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnish.functions.keyed_hash import row_hash
-from tarnish.session import materialize
+from tarnish.session import materialize, shuffles_removed
 
 BUCKETS = 4096
 
@@ -41,7 +41,8 @@ def dense_index(df: DataFrame, key: str, out: str = "_idx", buckets: int = BUCKE
     places = F.col(weight) if weight else F.lit(1).cast("bigint")
     # a NULL key hashes like any other
     keyed = df.select(key, *extra, F.coalesce(bucket_of(F.col(key), buckets), F.lit(0)).alias("_bucket"))
-    seen = keyed.groupBy("_bucket").agg(F.sum(places), F.max(places)).collect()
+    with shuffles_removed(df.sparkSession):
+        seen = keyed.groupBy("_bucket").agg(F.sum(places), F.max(places)).collect()
     sizes = {bucket: n for bucket, n, _ in seen}
     offsets = [0, *accumulate(sizes.get(b, 0) for b in range(buckets))]
     w = Window.partitionBy("_bucket").orderBy(*[c for c in (key, tie) if c]).rowsBetween(Window.unboundedPreceding, 0)

@@ -5,6 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from conftest import SF, rows
+from tarnish.operators.dense_index import dense_index
 from tarnish.operators.features import build_order_features, feature_table_columns
 from tarnish.session import materialize, scratch_path
 from tarnish.sources import adapter, colocated
@@ -80,3 +81,8 @@ def test_stored_tables_leave_no_shuffle_files(spark, tmp_path):
     columns = [F.first("k").cast("string").alias(c) if c != "split" else F.lit("test").alias(c) for c in feature_table_columns()]
     _, left = left_over(spark, lambda: write_silver(rows.groupBy("count").agg(*columns), str(tmp_path / "silver")))
     assert not left and read_silver(spark, str(tmp_path / "silver")).count() == 2
+
+
+def test_counts_of_buckets_leave_no_shuffle_files(spark):
+    index, left = left_over(spark, lambda: dense_index(spark.range(1000), "id"))
+    assert not left and index.n == 1000 and index.rows.agg(F.count_distinct("_idx"), F.max("_idx")).first()[:] == (1000, 999)
