@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tarnish import fixed_values as fv
+from tarnish.session import shuffles_removed
 
 
 def _missing(e: AnalysisException) -> bool:
@@ -124,7 +125,8 @@ class AnswerStore:
         """Stores call records that carry prompt_sha256."""
         rows = records.withColumn("scorer", F.lit(self.scorer))
         columns = [f.name for f in rows.sparkSession.createDataFrame([], self.SCHEMA).schema]
-        rows.select(*columns).write.mode("append").partitionBy("scorer", "attempt").parquet(self.path)
+        with shuffles_removed(rows.sparkSession):
+            rows.select(*columns).write.mode("append").partitionBy("scorer", "attempt").parquet(self.path)
 
 
 # ---- reports ----
