@@ -9,7 +9,6 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
-from os.path import commonprefix
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -72,13 +71,10 @@ def _stored_answers(prompts: DataFrame, keys: list[str], scorer: PromptScorer, r
     spark, digest, calls = prompts.sparkSession, "prompt_sha256", []
     waiting, path = prompts.select(*keys, F.sha2("prompt", 256).alias(digest), "prompt"), scratch_path(prompts.sparkSession, "distinct-prompts")
     # equal prompts are merged before the shuffle, so a prompt that many rows share is no hot key; they are made and merged once
-    # for all attempts, and a later attempt finds those it asks about by their digests. What all prompts share is neither shuffled nor stored
-    head, tail = shared_text(prompts)
-    own = F.substring("prompt", F.lit(len(head) + 1), F.length("prompt") - (len(head) + len(tail))).alias("_own")
-    distinct = materialize(waiting.select(digest, own).dropDuplicates([digest]), "distinct-prompts", path)
+    # for all attempts, and a later attempt finds those it asks about by their digests. They share much text, which zstd packs
+    distinct = materialize(waiting.select(digest, "prompt").dropDuplicates([digest]), "distinct-prompts", path, "zstd")
     for attempt in range(retries + 1):
-        fresh = distinct.join(store.answers(spark, attempt).select(digest), digest, "left_anti").select(
-            digest, F.concat(F.lit(head), "_own", F.lit(tail)).alias("prompt"))
+        fresh = distinct.join(store.answers(spark, attempt).select(digest), digest, "left_anti")
         store.append(call_records(_ask(fresh, scorer, attempt), store.task, store.mode, digest))
         known = store.answers(spark, attempt)  # read anew: what was there and what was just stored
         calls.append(waiting.drop("prompt").join(known, digest).drop(digest))
@@ -88,17 +84,6 @@ def _stored_answers(prompts: DataFrame, keys: list[str], scorer: PromptScorer, r
     return union_all(calls)
 
 
-def shared_text(prompts: DataFrame) -> tuple[str, str]:
-    """The longest start and end that all prompts have in common, which don't overlap in any: those of the first and last in order."""
-    back = F.reverse("prompt")
-    found = prompts.agg(F.min("prompt"), F.max("prompt"), F.min(back), F.max(back), F.min(F.length("prompt"))).first()
-    if found[0] is None:
-        return "", ""
-    # bytes that are no text don't come to the driver as they are, so what is shared ends before them
-    head, end = (commonprefix(pair).split("\ufffd")[0] for pair in (found[:2], found[2:4]))
-    return head, end[:found[4] - len(head)][::-1]
-
-
 def final_answers(calls: DataFrame, keys: list[str]) -> DataFrame:
     """The accepted answer per prompt, or the failure mark with the last error."""
     accepted = lambda c: F.max(F.when(F.col("ok"), F.col(c)))

@@ -82,11 +82,11 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def materialize(df, name: str, path: str | None = None):
+def materialize(df, name: str, path: str | None = None, compression: str | None = None):
     """Write ``df`` to the shared folder and read it back: the lineage ends at files that outlive executors."""
     path = path or scratch_path(df.sparkSession, name)
     with shuffles_removed(df.sparkSession):
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
